@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.format_duplicates import format_duplicates
+from vellum.llm.mojibake import garbled_values
 from vellum.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,17 @@ def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("keep_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled page text and faculty title with its restored form, and whether characters are lost for good."""
+    pages = garbled_values(table(spark, folder, "fetched_pages"), "page_id", "text")
+    titles = garbled_values(table(spark, folder, "faculty_records"), "record_id", "title", short=True)
+    return pages.withColumn("src", F.lit("fetched_pages")).unionByName(titles.withColumn("src", F.lit("faculty_records")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_restored(spark, folder).select("src", "row_id").distinct()
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
