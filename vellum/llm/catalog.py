@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.format_duplicates import format_duplicates
-from vellum.llm.mojibake import garbled_values
+from vellum.llm.lookalikes import stored_differently
+from vellum.llm.mojibake import garbled_distinct, garbled_values
 from vellum.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,17 @@ def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("keep_id").agg((F.count("*") + 1).alias("n_copies"))
 
 
+def p6_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and titles stored with other characters than they show, with their one consistent form."""
+    rows = table(spark, folder, "faculty_records")
+    garbled = garbled_distinct(rows, "title", short=True).select(F.lit("title").alias("field_name"), F.col("_text").alias("value"))
+    return stored_differently(rows, "record_id", ["name", "title"], garbled)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_canonical(spark, folder).select("record_id", "field_name").distinct()
+
+
 def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
     """Every garbled page text and faculty title with its restored form, and whether characters are lost for good."""
     pages = garbled_values(table(spark, folder, "fetched_pages"), "page_id", "text")
