@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.lookalikes import stored_differently
 from vellum.llm.mojibake import garbled_distinct, garbled_values
+from vellum.llm.residue import residue_kinds
 from vellum.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages with residue in place of content, and of which kinds."""
+    pages = table(spark, folder, "fetched_pages").select("page_id", "title", "text")
+    return residue_kinds(pages).where(F.size("residue") > 0).select("page_id", "residue")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_kinds(spark, folder).select("page_id").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates(table(spark, folder, "faculty_records")).select("keep_id", "record_id")
 
