@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.lookalikes import stored_differently
+from vellum.llm.main_content import main_lines, main_text
 from vellum.llm.mojibake import garbled_distinct, garbled_values
 from vellum.llm.residue import residue_kinds
 from vellum.sources.tables import table
@@ -16,6 +17,17 @@ from vellum.sources.tables import table
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "fetched_pages").select("page_id", "html", "text")
+    return main_lines(pages).distinct()
+
+
+def p1_body_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The body of each page as one text, its lines in order."""
+    pages = table(spark, folder, "fetched_pages").select("page_id", "html", "text")
+    return main_text(pages)
+
+
 def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """The pages with residue in place of content, and of which kinds."""
     pages = table(spark, folder, "fetched_pages").select("page_id", "title", "text")
