@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm.residue import ERRORS, FILLER, NOTICES, REFERENCE
 
@@ -287,7 +288,7 @@ def body_lines(html: str | None, text: str | None) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _numbers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for html, text in batches:
         yield pd.Series([body_lines(h, t) for h, t in zip(html, text, strict=True)])
