@@ -12,6 +12,7 @@ from vellum.llm.lookalikes import stored_differently
 from vellum.llm.main_content import main_lines, main_text
 from vellum.llm.mojibake import garbled_distinct, garbled_values
 from vellum.llm.residue import residue_kinds
+from vellum.llm.sentences import sentences
 from vellum.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_restored(spark, folder).select("src", "row_id").distinct()
 
 
+def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_sentences(spark, folder).select("doc_id", "sent_end").distinct()
+
+
 def queries() -> dict[str, QueryFn]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
