@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.format_duplicates import format_duplicates
+from vellum.llm.leakage import leaked_items
 from vellum.llm.lookalikes import stored_differently
 from vellum.llm.main_content import main_lines, main_text
 from vellum.llm.mojibake import garbled_distinct, garbled_values
@@ -71,6 +72,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_restored(spark, folder).select("src", "row_id").distinct()
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items"))
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each leaked test item got into."""
+    return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
 def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
