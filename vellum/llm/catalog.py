@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.containers import contained
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.leakage import leaked_items
 from vellum.llm.lookalikes import stored_differently
@@ -72,6 +73,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_restored(spark, folder).select("src", "row_id").distinct()
 
 
+def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """A container and a slot for every part of every non-blank document."""
+    return contained(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each container is filled."""
+    return p8_assignment(spark, folder).groupBy("container_id").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items"))
 
