@@ -43,9 +43,9 @@ def _words(names: str) -> str:
     return "|".join(w.replace(".", r"\.") for w in sorted(names.split(), key=len, reverse=True))
 
 
-def _masked(text: Column, pattern: str) -> Column:
-    """Mask the full stop that ends ``pattern``."""
-    return F.regexp_replace(text, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?:{pattern}))\.", "$1" + _MASKS["."])
+def _masked(text: Column, words: str) -> Column:
+    """Mask the full stop after any of ``words``; only short words right before a full stop are compared."""
+    return F.regexp_replace(text, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?=[^\s.]{{1,8}}\.)(?:{words}))\.", "$1" + _MASKS["."])
 
 
 def _pairs(text: Column) -> Column:
@@ -66,23 +66,24 @@ def mask(text: Column) -> Column:
     t = F.regexp_replace(text, rf"\n(?=[^\S\n]*\n)", _BLANK)
     t = _pairs(t)
     inside = rf"(?=[^{_OPEN}{_CLOSE}{_LEFT}{_RIGHT}{_BLANK}]{{0,{REACH}}}+[{_CLOSE}{_RIGHT}])"
+    t = F.regexp_replace(t, rf"({_MARK}|[^\S\n](?<=[฀-๿]\s)){inside}", _CUT + "$1")
     for mark, hidden in _MASKS.items():
-        t = F.regexp_replace(t, rf"[{mark}]{inside}", hidden)
-    t = F.regexp_replace(t, rf"[^\S\n](?<=[฀-๿]\s){inside}", _GAP)
+        t = F.replace(t, F.lit(_CUT + mark), F.lit(hidden))
+    t = F.regexp_replace(t, rf"{_CUT}\s", _GAP)
     # A full stop right before a character other than white space or a closing mark: decimals, addresses, inner dots.
     t = F.regexp_replace(t, rf"\.(?=[^\s{_CLOSE}{_RIGHT}{_BLANK}.…\"'”’»\])])", _MASKS["."])
-    t = F.regexp_replace(t, r"(?i)(?<=\b(?:www|https?)[^\s]{0,200})[?!](?=\S)|[?!](?=[\p{L}\p{N}_]+=)", _MASKS["?"])
+    t = F.regexp_replace(t, r"[?!](?=\S)(?<=\b(?:www|https?)[^\s]{0,200}[?!])|[?!](?=[\p{L}\p{N}_]+=)", _MASKS["?"])
     # An ellipsis of dots ends nothing.
-    t = F.regexp_replace(t, r"(?<=\.)\.|\.(?=\.)", "…")
-    t = F.regexp_replace(t, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_PAIRED_FIRST}))\.(?=\s)", "$1" + _MASKS["."])
-    t = _masked(t, _PAIRED_LETTERS)
+    t = F.regexp_replace(t, r"\.(?:(?<=\.\.)|(?=\.))", "…")
+    t = F.regexp_replace(t, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?=\p{{L}}{{1,3}}\.\s)(?:{_PAIRED_FIRST}))\.", "$1" + _MASKS["."])
+    t = F.regexp_replace(t, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_PAIRED_LETTERS}))\.", "$1" + _MASKS["."])
     t = _masked(t, _words(_BEFORE_NAMES) + rf"|(?:{_words(_BEFORE_NUMBERS)})(?=\.\s?\p{{N}})")
     # Initials; a single letter after other letters with full stops (U.K.) may end a sentence.
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{M}}\p{{N}}.{_MASKS['.']}])(\p{{Lu}})\.(?=[\s]\s?\p{{Lu}})", "$1" + _MASKS["."])
+    t = F.regexp_replace(t, rf"\.(?=\s\s?\p{{Lu}})(?<=(?<![\p{{L}}\p{{M}}\p{{N}}.{_MASKS['.']}])\p{{Lu}}\.)", _MASKS["."])
     # Scripts in which a full stop only abbreviates.
-    t = F.regexp_replace(t, r"(?<=[ऀ-෿฀-๿])\.|(?<=(?<![\p{L}\p{M}])[ء-ي])\.", _MASKS["."])
+    t = F.regexp_replace(t, r"\.(?:(?<=[ऀ-෿฀-๿]\.)|(?<=(?<![\p{L}\p{M}])[ء-ي]\.))", _MASKS["."])
     # German ordinals.
-    return F.regexp_replace(t, rf"((?<!\p{{L}})(?:(?i:{_ARTICLES})\s\d{{1,3}}|\d{{1,2}}(?=\.\s(?:{_MONTHS})\b)))\.(?=\s\p{{Lu}})", "$1" + _MASKS["."])
+    return F.regexp_replace(t, rf"\.(?=\s\p{{Lu}})(?<=\d\.)(?:(?<=(?<!\p{{L}})(?i:{_ARTICLES})\s\d{{1,3}}\.)|(?<=(?<!\d)\d{{1,2}}\.)(?=\.?\s(?:{_MONTHS})\b))", _MASKS["."])
 
 
 _CLOSERS = rf"[{_CLOSE}{_RIGHT}\"'”’»›)\]）」』】]"
@@ -94,7 +95,6 @@ _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 def _boundaries() -> str:
     """What a sentence ends with, closing marks included."""
     low = r"(?!\s*\p{Ll}(?!\p{Lu}))"
-    quoted = rf"(?<=[{_MASKED}]){_CLOSE}"
     return "|".join(
         (
             # full-width terminators need no space after them
@@ -105,13 +105,14 @@ def _boundaries() -> str:
             rf"[।॥۔]{_CLOSERS}*+{_NO_GO}",
             rf"[!?؟]+{_CLOSERS}*+(?=\s|$|{_BLANK}|(?<=[{_CJK}][!?])[{_CJK}]){_NO_GO}{low}",
             # in Greek the semicolon asks
-            rf"(?<=[Ͱ-Ͽἀ-῿][^;.!\n]{{0,60}})[;;]{_CLOSERS}*+(?=\s|$|{_BLANK}){low}",
+            rf"[;;](?<=[Ͱ-Ͽἀ-῿][^;.!\n]{{0,60}}[;;]){_CLOSERS}*+(?=\s|$|{_BLANK}){low}",
             # a quotation that ends in a mark ends the sentence it was announced in ...
-            rf"(?<=[:：,，]\s{{0,2}}{_OPEN}[^{_OPEN}{_CLOSE}]{{1,{REACH}}}[{_MASKED}]\s?){_CLOSE}{_NO_GO}(?!\s?[とって라고다]){low}(?!\s?[—–])",
+            rf"{_CLOSE}(?<=[{_MASKED}]\s?{_CLOSE})(?<=[:：,，]\s{{0,2}}{_OPEN}[^{_OPEN}{_CLOSE}]{{1,{REACH}}}{_CLOSE}){_NO_GO}(?!\s?[とって라고다]){low}(?!\s?[—–])",
             # ... or, in scripts with capitals, before a capital or another opening mark
-            rf"(?<=[^\s{_CJK}][{_MASKED}]\s?){_CLOSE}(?=\s+(?:[\p{{Lu}}¿¡{_OPEN}]|\p{{Ll}}\p{{Lu}}))",
+            rf"{_CLOSE}(?<=[^\s{_CJK}][{_MASKED}]\s?{_CLOSE})(?=\s+(?:[\p{{Lu}}¿¡{_OPEN}]|\p{{Ll}}\p{{Lu}}))",
             # in Thai a space ends a sentence, unless a numeral or Latin letter touches it
-            rf"(?<=[฀-๿{_CLOSE}{_RIGHT}])(?<=[฀-๿].{{0,40}})(?=\s+[฀-๿{_OPEN}{_LEFT}])(?<=[฀-๿]|[{_CLOSE}{_RIGHT}])",
+            rf"[฀-๿](?=\s+[฀-๿{_OPEN}{_LEFT}])",
+            rf"[{_CLOSE}{_RIGHT}](?<=[฀-๿].{{0,40}}[{_CLOSE}{_RIGHT}])(?=\s+[฀-๿])",
             # a blank line ends everything
             _BLANK,
         )
