@@ -48,25 +48,31 @@ def _masked(text: Column, words: str) -> Column:
     return F.regexp_replace(text, rf"((?<![\p{{L}}\p{{M}}\p{{N}}])(?=[^\s.]{{1,8}}\.)(?:{words}))\.", "$1" + _MASKS["."])
 
 
-def _pairs(text: Column) -> Column:
-    """Quotation marks and brackets that belong together become one kind of pair each."""
-    body = rf"([^{{0}}{_BLANK}]{{{{1,{REACH}}}}}?)"
-    for opens, closes, kind in (
-        ("„", "“”", "quote"), ("‚", "‘’", "quote"), ("“", "”", "quote"), ("«", "»", "quote"), ("‹", "›", "quote"), ("「", "」", "quote"), ("『", "』", "quote"),
-        ("《", "》", "quote"), ("(", ")", "bracket"), ("（", "）", "bracket"), (r"\[", r"\]", "bracket"), ("【", "】", "bracket"),
-    ):
-        a, b = (_OPEN, _CLOSE) if kind == "quote" else (_LEFT, _RIGHT)
-        text = F.regexp_replace(text, f"[{opens}]{body.format(opens + closes)}[{closes}]", f"{a}$1{b}")
-    text = F.regexp_replace(text, rf"(?<![^\s(\[{_LEFT}{_OPEN}—–:：-])\"(?!\s)([^\"{_BLANK}]{{1,{REACH}}}?)(?<!\s)\"(?![\p{{L}}\p{{N}}])", f"{_OPEN}$1{_CLOSE}")
-    return F.regexp_replace(text, rf"(?<![^\s(\[{_LEFT}{_OPEN}])‘(?!\s)([^‘{_BLANK}]{{1,{REACH}}}?)’(?![\p{{L}}\p{{N}}])", f"{_OPEN}$1{_CLOSE}")
+_QUOTES = (("„", "“”"), ("‚", "‘’"), ("“", "”"), ("«", "»"), ("‹", "›"), ("「", "」"), ("『", "』"), ("《", "》"))
+_BRACKETS = (("(", ")"), ("（", "）"), (r"\[", r"\]"), ("【", "】"))
+
+
+def _flagged(text: Column, opening: str, closing: str) -> Column:
+    """A flag before every mark between the two; the search only ever starts at an opening mark or where it left off."""
+    thai_space = r"[^\S\n](?<=[\u0e00-\u0e7f]\s)"
+    return F.regexp_replace(text, rf"((?:{opening}|(?!\A)\G)[^{closing}{_BLANK}]{{0,{REACH}}}?)(?<!{_CUT})({_MARK}|{thai_space})", "$1" + _CUT + "$2")
+
+
+def _inside(text: Column) -> Column:
+    """Quotation marks and brackets that belong together become one kind of pair each, and marks inside are flagged."""
+    for opens, closes in _BRACKETS:
+        text = F.regexp_replace(text, rf"[{opens}]([^{opens}{closes}{_BLANK}]{{1,{REACH}}}+)[{closes}]", f"{_LEFT}$1{_RIGHT}")
+    text = _flagged(text, _LEFT, _RIGHT)
+    for opens, closes in _QUOTES:
+        text = F.regexp_replace(text, rf"[{opens}]([^{opens}{closes}{_BLANK}]{{1,{REACH}}}+)[{closes}]", f"{_OPEN}$1{_CLOSE}")
+    text = F.regexp_replace(text, rf"\"(?<![^\s(\[{_LEFT}{_OPEN}—–:：-]\")(?!\s)([^\"{_BLANK}]{{1,{REACH}}}+)(?<!\s)\"(?![\p{{L}}\p{{N}}])", f"{_OPEN}$1{_CLOSE}")
+    text = F.regexp_replace(text, rf"‘(?<![^\s(\[{_LEFT}{_OPEN}]‘)(?!\s)([^‘{_BLANK}]{{1,{REACH}}}?)’(?![\p{{L}}\p{{N}}])", f"{_OPEN}$1{_CLOSE}")
+    return _flagged(text, _OPEN, _CLOSE)
 
 
 def mask(text: Column) -> Column:
     """The text with every mark masked that doesn't end a sentence; as many code points as before."""
-    t = F.regexp_replace(text, rf"\n(?=[^\S\n]*\n)", _BLANK)
-    t = _pairs(t)
-    inside = rf"(?=[^{_OPEN}{_CLOSE}{_LEFT}{_RIGHT}{_BLANK}]{{0,{REACH}}}+[{_CLOSE}{_RIGHT}])"
-    t = F.regexp_replace(t, rf"({_MARK}|[^\S\n](?<=[฀-๿]\s)){inside}", _CUT + "$1")
+    t = _inside(F.regexp_replace(text, r"\n(?=[^\S\n]*\n)", _BLANK))
     for mark, hidden in _MASKS.items():
         t = F.replace(t, F.lit(_CUT + mark), F.lit(hidden))
     t = F.regexp_replace(t, rf"{_CUT}\s", _GAP)
