@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.llm.canonical_titles import entries_of_values
 from vellum.llm.containers import contained
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.leakage import leaked_items
@@ -31,6 +32,29 @@ def p1_body_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(pages)
 
 
+def _typed_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """``src, row_id, value`` of the three typed fields."""
+    faculty, candidates = table(spark, folder, "faculty_records"), table(spark, folder, "candidates")
+    return (
+        faculty.select(F.lit("faculty_records.title").alias("src"), F.col("record_id").alias("row_id"), F.col("title").alias("value"))
+        .unionByName(candidates.select(F.lit("candidates.title_raw").alias("src"), F.col("candidate_id").alias("row_id"), F.col("title_raw").alias("value")))
+        .unionByName(candidates.select(F.lit("candidates.normalized_title").alias("src"), F.col("candidate_id").alias("row_id"), F.col("normalized_title").alias("value")))
+    )
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    typed = _typed_titles(spark, folder)
+    mapped = entries_of_values(typed, table(spark, folder, "canonical_titles"))
+    return typed.join(mapped.select("value", "title_id"), "value").select("src", "row_id", "title_id").distinct()
+
+
+def p2_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that match no entry, with how many rows have them."""
+    typed = _typed_titles(spark, folder)
+    mapped = entries_of_values(typed, table(spark, folder, "canonical_titles")).where("title_id = 0")
+    return typed.groupBy("value").agg(F.count("*").alias("n_rows")).join(mapped.select("value"), "value")
+
+
 def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """The pages with residue in place of content, and of which kinds."""
     pages = table(spark, folder, "fetched_pages").select("page_id", "title", "text")
