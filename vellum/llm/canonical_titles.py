@@ -56,11 +56,12 @@ _INVISIBLE = re.compile(r"[­͏؜​-‏‪-‮⁠-⁤﻿ـ]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[^\W_]+|\S", re.U)
 
 
-def _one_script(text: str) -> str:
+def one_script(text: str) -> str:
     """Look-alikes exchanged word by word; a value that has letters of Cyrillic alone stays Cyrillic."""
     if not any(c in _LATIN for c in text):
         return text
-    own = any("\u0400" <= c <= "\u04ff" and c not in _LATIN for c in text)
+    cyrillic = sum("\u0400" <= c <= "\u04ff" for c in text)
+    own = any("\u0400" <= c <= "\u04ff" and c not in _LATIN for c in text) or cyrillic > sum("a" <= c <= "z" for c in text.lower())
     latin_value = any("a" <= c <= "z" for c in text.lower())
     out = []
     for word in re.split(r"([\W_]+)", text):
@@ -80,7 +81,7 @@ def _one_script(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case without accents, in plain characters of one script a word."""
-    t = _one_script(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
+    t = one_script(unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
     t = t.casefold().replace("ı", "i").replace("ł", "l").replace("ø", "o").replace("đ", "d")
     kept = "".join(c for c in unicodedata.normalize("NFD", t) if not 0x300 <= ord(c) <= 0x36F)
     kept = unicodedata.normalize("NFC", kept)

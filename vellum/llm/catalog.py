@@ -14,6 +14,7 @@ from vellum.llm.leakage import leaked_items
 from vellum.llm.lookalikes import stored_differently
 from vellum.llm.main_content import main_lines, main_text
 from vellum.llm.mojibake import garbled_distinct, garbled_values
+from vellum.llm.name_variants import people, same_person_pairs
 from vellum.llm.residue import residue_kinds
 from vellum.llm.sentences import sentences
 from vellum.sources.tables import table
@@ -55,6 +56,20 @@ def p2_misses(spark: SparkSession, folder: str) -> DataFrame:
     return typed.groupBy("value").agg(F.count("*").alias("n_rows")).join(mapped.select("value"), "value")
 
 
+def _named_rows(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["unit_id", "record_id", "name"]
+    return table(spark, folder, "faculty_records").select(*columns).unionByName(table(spark, folder, "directory_records").select(*columns))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_person_pairs(_named_rows(spark, folder)).distinct()
+
+
+def p3_people(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with its person, without the pairs."""
+    return people(_named_rows(spark, folder)).select("record_id", "person")
+
+
 def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """The pages with residue in place of content, and of which kinds."""
     pages = table(spark, folder, "fetched_pages").select("page_id", "title", "text")
