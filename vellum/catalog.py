@@ -6,24 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.plans import queries as plans
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Faculty records per school, with their distinct mailboxes."""
-    from pyspark.sql import functions as F
-
-    from vellum.sources.tables import table
-
-    rows = table(spark, folder, "faculty_records")
-    return rows.groupBy("school_id").agg(F.count("*").alias("n_records"), F.countDistinct("email").alias("n_emails"))
+    """The page inventory: addresses, first fetches, hosts and languages."""
+    return plans.q_page_inventory(spark, folder)
 
 
 def queries() -> dict[str, QueryFn]:
-    return {"q_records_per_school": flagship}
+    return plans.all_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "q_records_per_school": "SELECT school_id, count(*) AS n_records, count(DISTINCT email) AS n_emails FROM faculty_records GROUP BY school_id"
-    }
+    return dict(plans.SQL)
