@@ -354,23 +354,23 @@ def q_merged_fetches(spark: SparkSession, folder: str) -> DataFrame:
     """One row per page address: the last state, the most attempts, the first filled title."""
     pages = table(spark, folder, "fetched_pages").select("page_id", "http_status", "fetch_attempts", F.nullif("title", F.lit("")).alias("t"), urls.page_key(F.col("requested_url")).alias("u"))
     return pages.where("u != ''").groupBy("u").agg(
-        F.max_by("http_status", "page_id").alias("last_status"), F.max("fetch_attempts").alias("most_attempts"), F.min_by("t", F.when(F.col("t").isNotNull(), F.col("page_id"))).alias("first_title"), F.count("*").alias("n")
+        F.coalesce(F.max_by("http_status", "page_id"), F.lit(0)).alias("last_status"), F.max("fetch_attempts").alias("most_attempts"), F.min_by("t", F.when(F.col("t").isNotNull(), F.col("page_id"))).alias("first_title"), F.count("*").alias("n")
     )
 
 
 SQL["q_merged_fetches"] = f"""
 WITH p AS (SELECT page_id, http_status, fetch_attempts, nullif(title, '') AS t, {_PAGE_KEY.format('requested_url')} AS u FROM fetched_pages)
-SELECT u, last(http_status ORDER BY page_id) AS last_status, max(fetch_attempts) AS most_attempts, arg_min(t, page_id) FILTER (t IS NOT NULL) AS first_title, count(*) AS n FROM p WHERE u <> '' GROUP BY ALL"""
+SELECT u, coalesce(last(http_status ORDER BY page_id), 0) AS last_status, max(fetch_attempts) AS most_attempts, arg_min(t, page_id) FILTER (t IS NOT NULL) AS first_title, count(*) AS n FROM p WHERE u <> '' GROUP BY ALL"""
 
 
 def q_due_for_removal(spark: SparkSession, folder: str) -> DataFrame:
-    """Events ninety days or more before the newest, counted by kind."""
+    """Events seven days or more before the newest, counted by kind."""
     events = table(spark, folder, "events")
     newest = F.broadcast(events.agg(F.max("ts").alias("now")))
-    return events.join(newest, F.col("ts") <= F.col("now") - F.expr("INTERVAL 90 DAYS")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return events.join(newest, F.col("ts") <= F.col("now") - F.expr("INTERVAL 7 DAYS")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-SQL["q_due_for_removal"] = "SELECT event_type, count(*) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 90 DAYS GROUP BY ALL"
+SQL["q_due_for_removal"] = "SELECT event_type, count(*) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY ALL"
 
 
 def q_new_names_by_day(spark: SparkSession, folder: str) -> DataFrame:
@@ -381,8 +381,8 @@ def q_new_names_by_day(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["q_new_names_by_day"] = """
-WITH f AS (SELECT school_id, name, min(scraped_at) AS at FROM faculty_records WHERE name <> '' AND scraped_at IS NOT NULL GROUP BY ALL)
-SELECT school_id, strftime(at, '%Y-%m-%d') AS day, count(*) AS n_new FROM f GROUP BY ALL"""
+WITH f AS (SELECT school_id, name, min(scraped_at) AS first_at FROM faculty_records WHERE name <> '' AND scraped_at IS NOT NULL GROUP BY ALL)
+SELECT school_id, strftime(first_at, '%Y-%m-%d') AS day, count(*) AS n_new FROM f GROUP BY ALL"""
 
 
 def q_same_school_names(spark: SparkSession, folder: str) -> DataFrame:
