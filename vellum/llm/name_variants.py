@@ -269,31 +269,26 @@ def _shard_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _FORMS = T.ArrayType(T.StructType([T.StructField("i", T.StringType()), T.StructField("g", T.StringType()), T.StructField("s", T.StringType())]))
 
 
-def _common_given_names(names: DataFrame, pairs: DataFrame) -> frozenset[str]:
-    """Tokens that stand first (or after the comma) in one (name, unit) pair of ``GIVEN_SHARE``, mostly there, in several units."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def both(name: str) -> list[str]:
-            tokens, comma = name_tokens(name)
-            long = [t for t, one, _ in tokens if not one and t not in _PARTICLES]
-            if len(long) < 2:
-                return []
-            first = next((t for t, one, _ in tokens[comma:] if not one and t not in _PARTICLES), "") if comma > 0 else long[0]
-            last = long[0] if comma > 0 else long[-1]
-            return [first, last]
+def _common_given_names(pairs: DataFrame) -> frozenset[str]:
+    """Tokens that stand first (or after the comma) in one (name, unit) pair of ``GIVEN_SHARE``, mostly there, in several units.
 
-        for batch in batches:
-            yield pd.Series([both(x) for x in batch])
-
-    each = pairs.join(names.select("name", ends("name").alias("_e")).where(F.size("_e") == 2), "name")
-    side = lambda k: F.struct(F.get("_e", F.lit(k)).alias("t"), F.lit(k).alias("k"))
-    tokens = each.select("unit_id", F.explode(F.array(side(0), side(1))).alias("x")).select("unit_id", "x.t", "x.k")
+    Counted in the JVM over rough tokens; only the tokens that pass, at most ``GIVEN_SHARE``, come to the driver and are folded.
+    """
+    skip = sorted(_TITLES | _PARTICLES)
+    plain = F.lower(F.regexp_replace("name", r"[(（\[][^)）\]]*[)）\]]", " "))
+    words = lambda c: F.filter(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{M}]{2,})"), 1), lambda x: ~x.isin(skip))
+    before, after = words(F.substring_index("_p", ",", 1)), words(F.regexp_extract("_p", r",(.*)$", 1))
+    comma = (F.size("_a") > 0) & (F.size("_b") > 0)
+    each = pairs.select("unit_id", plain.alias("_p")).select("unit_id", before.alias("_b"), after.alias("_a"))
+    given = F.when(comma, F.get("_a", F.lit(0))).when(F.size("_b") > 1, F.get("_b", F.lit(0)))
+    family = F.when(comma, F.get("_b", F.lit(0))).when(F.size("_b") > 1, F.get("_b", F.size("_b") - 1))
+    side = lambda c, k: F.struct(c.alias("t"), F.lit(k).alias("k"))
+    tokens = each.select("unit_id", F.explode(F.array(side(given, 0), side(family, 1))).alias("x")).select("unit_id", "x.t", "x.k").where("t is not null")
     total, units = pairs.agg(F.count("*"), F.approx_count_distinct("unit_id")).first()
     first = F.sum(F.when(F.col("k") == 0, 1).otherwise(0))
     sums = tokens.groupBy("t").agg(first.alias("f"), F.sum("k").alias("l"), F.approx_count_distinct(F.when(F.col("k") == 0, F.col("unit_id"))).alias("in_units"))
     common = sums.where((F.col("f") >= max(2, total // GIVEN_SHARE)) & (F.col("f") > 2 * F.col("l")) & (F.col("in_units") >= min(3, units)))
-    return frozenset(r[0] for r in common.select("t").collect())  # at most GIVEN_SHARE of them
+    return frozenset(_roman(unicodedata.normalize("NFKC", r[0])) for r in common.select("t").collect())
 
 
 def people(rows: DataFrame, unit_col: str = "unit_id", id_col: str = "record_id", name_col: str = "name") -> DataFrame:
@@ -305,7 +300,7 @@ def people(rows: DataFrame, unit_col: str = "unit_id", id_col: str = "record_id"
     base = rows.select(F.col(unit_col).alias("unit_id"), F.col(id_col).alias("record_id"), F.col(name_col).alias("name")).where(F.col("name").rlike(r"(?U)\w")).where("unit_id is not null and record_id is not null")
     pairs = cut_lineage(base.select("name", "unit_id").distinct())
     names = pairs.select("name").distinct()
-    given = _common_given_names(names, pairs)
+    given = _common_given_names(pairs)
     near: dict[str, str] = {}
     for g in sorted(x for x in given | frozenset(NICKNAMES) if len(x) > 3):
         for i in range(len(g)):
