@@ -17,6 +17,7 @@ from vellum.llm.mojibake import garbled_distinct, garbled_values
 from vellum.llm.name_variants import people, same_person_pairs
 from vellum.llm.residue import residue_kinds
 from vellum.llm.sentences import sentences
+from vellum.operators.skew import spread_join
 from vellum.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def _typed_titles(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = _typed_titles(spark, folder)
     mapped = entries_of_values(typed, table(spark, folder, "canonical_titles"))
-    return typed.join(mapped.select("value", "title_id"), "value").select("src", "row_id", "title_id").distinct()
+    return spread_join(typed, mapped.select("value", "title_id"), ["value"], "row_id").select("src", "row_id", "title_id").distinct()
 
 
 def p2_misses(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.operators.skew import spread_join
+
 # Letters of Greek and Cyrillic and the Latin letter that looks the same.
 GREEK_LIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
@@ -180,7 +182,7 @@ def stored_differently(rows: DataFrame, id_col: str, fields: list[str], leave_ou
         long = long.unionByName(other)
     long = long.where(F.col("value").rlike(r"[^\x00-\x7f]"))
     changed = canonical_forms(long).where("canonical != value")
-    out = long.join(changed, "value")
+    out = spread_join(long, changed, ["value"], "record_id")
     if leave_out is not None:
         out = out.join(leave_out.select("field_name", "value").distinct(), ["field_name", "value"], "left_anti")
     return out.select("record_id", "field_name", "value", "canonical")

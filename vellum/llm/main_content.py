@@ -199,6 +199,8 @@ def select_body(root: Node, order: list[Node], blocks: list[tuple[str, Node]]) -
     candidates = [n for n in order if n is not root and n.tag not in _INLINE and not _frame(n)]
     if heads:
         head = heads[0]
+        if head.parent is root:  # nothing holds the body together but the page
+            return root
         shares: dict[int, Node] = {}
         up: Node | None = head
         while up is not None:
