@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import emails, text, urls
-from vellum.operators import dedup, graph, html, reports
+from vellum.operators import dedup, graph, html, matching, page_people, reports
 from vellum.operators.skew import spread_join
 from vellum.sources.tables import table
 
@@ -422,5 +422,127 @@ def q_content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 SQL["q_content_hashes"] = "SELECT sha256(text) AS digest, count(*) AS n, min(page_id) AS first_page FROM fetched_pages WHERE text <> '' GROUP BY ALL HAVING count(*) > 1"
 
 
+def q_longest_title(spark: SparkSession, folder: str) -> DataFrame:
+    """Faculty titles by the longest canonical title they contain. The list is a fixed one of 66 entries."""
+    listed = [r[0] for r in table(spark, folder, "canonical_titles").select("title").distinct().collect()]
+    titles = table(spark, folder, "faculty_records").where("title is not null").groupBy("title").agg(F.count("*").alias("c"))
+    return titles.groupBy(matching.longest_phrase(F.col("title"), listed).alias("phrase")).agg(F.sum("c").alias("n"))
+
+
+SQL["q_longest_title"] = """
+WITH t AS (SELECT title, count(*) AS c FROM faculty_records WHERE title IS NOT NULL GROUP BY ALL),
+m AS (SELECT t.title, t.c, k.title AS phrase, row_number() OVER (PARTITION BY t.title ORDER BY length(k.title) DESC, k.title) AS rn
+FROM t LEFT JOIN (SELECT DISTINCT title FROM canonical_titles) k ON contains(lower(t.title), lower(k.title)))
+SELECT coalesce(phrase, '') AS phrase, sum(c)::BIGINT AS n FROM m WHERE rn = 1 GROUP BY ALL"""
+
+
+def q_best_unit_mail(spark: SparkSession, folder: str) -> DataFrame:
+    """For records without a mail address the one of their unit whose local part shares most with the name."""
+    rows = table(spark, folder, "faculty_records").select("record_id", "unit_id", "name", F.lower(F.trim("email")).alias("m"))
+    people = rows.where("coalesce(m, '') = '' and unit_id is not null").select(F.col("record_id").alias("id"), "unit_id", F.regexp_extract_all(F.lower("name"), F.lit("([a-z]+)"), 1).alias("words"))
+    mails = rows.where("m like '%@%' and unit_id is not null").select(F.col("m").alias("item"), "unit_id", F.regexp_extract_all(F.regexp_extract("m", "^([^@]*)@", 1), F.lit("([a-z]+)"), 1).alias("words")).distinct()
+    return matching.best_by_shared_words(people, mails, "unit_id").select(F.col("id").alias("record_id"), F.col("item").alias("mail"), "score")
+
+
+SQL["q_best_unit_mail"] = """
+WITH r AS (SELECT record_id, unit_id, name, lower(trim(email, ' ')) AS m FROM faculty_records WHERE unit_id IS NOT NULL),
+p AS (SELECT DISTINCT record_id, unit_id, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS w FROM r WHERE coalesce(m, '') = ''),
+i AS (SELECT DISTINCT m, unit_id, unnest(regexp_extract_all(regexp_extract(m, '^([^@]*)@', 1), '[a-z]+')) AS w FROM r WHERE m LIKE '%@%'),
+s AS (SELECT record_id, m, sum(length(w))::BIGINT AS score FROM p JOIN i USING (unit_id, w) WHERE length(w) >= 4 GROUP BY ALL)
+SELECT record_id, m AS mail, score FROM s QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY score DESC, m) = 1"""
+
+
+def q_directory_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Directory records linked to faculty records by address, else by a name that is the only one of its unit."""
+    side = lambda name: table(spark, folder, name).select(F.col("record_id").alias("id"), "unit_id", F.coalesce(urls.page_key(F.col("profile_url")), F.lit("")).alias("url"), F.coalesce("name", F.lit("")).alias("name"))
+    return matching.linked_rows(side("directory_records"), side("faculty_records"), "unit_id")
+
+
+SQL["q_directory_links"] = f"""
+WITH d AS (SELECT record_id AS id, unit_id, coalesce({_PAGE_KEY.format('profile_url')}, '') AS url, regexp_replace(lower(coalesce(name, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM directory_records),
+f AS (SELECT record_id AS id, unit_id, coalesce({_PAGE_KEY.format('profile_url')}, '') AS url, regexp_replace(lower(coalesce(name, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM faculty_records),
+u AS (SELECT url, min(id) AS right_id FROM f WHERE url <> '' GROUP BY ALL),
+n AS (SELECT unit_id, k, min(id) AS right_id FROM f WHERE k <> '' GROUP BY ALL HAVING count(*) = 1)
+SELECT d.id AS left_id, u.right_id, 'url' AS how FROM d JOIN u USING (url)
+UNION ALL SELECT d.id, n.right_id, 'name' FROM d JOIN n USING (unit_id, k) WHERE d.url NOT IN (SELECT url FROM u)"""
+
+
+def q_grounded_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence quotes by whether the page they name has them."""
+    rows = table(spark, folder, "candidates").dropDuplicates(["candidate_id"]).select(F.col("candidate_id").alias("id"), F.posexplode("evidence").alias("pos", "e"))
+    quotes = rows.select("id", "pos", urls.page_key(F.col("e.source_url")).alias("url"), F.coalesce("e.quote", F.lit("")).alias("quote"))
+    pages = table(spark, folder, "fetched_pages").select(urls.page_key(F.col("final_url")).alias("url"), "page_id", "text").where("url != ''")
+    pages = pages.groupBy("url").agg(F.max_by("text", "page_id").alias("text"))
+    return matching.grounded(quotes, pages).groupBy(F.coalesce(F.col("found").cast("string"), F.lit("no page")).alias("found")).agg(F.count("*").alias("n"))
+
+
+SQL["q_grounded_evidence"] = f"""
+WITH c AS (SELECT DISTINCT candidate_id, evidence FROM candidates),
+e AS (SELECT unnest(evidence) AS e FROM c),
+q AS (SELECT {_PAGE_KEY.format('e.source_url')} AS url, coalesce(e.quote, '') AS quote FROM e),
+p AS (SELECT {_PAGE_KEY.format('final_url')} AS url, last(text ORDER BY page_id) AS text FROM fetched_pages GROUP BY ALL)
+SELECT coalesce(CASE WHEN p.text IS NOT NULL THEN contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(regexp_replace(trim(quote, ' '), '\\s+', ' ', 'g')))::VARCHAR END, 'no page') AS found, count(*) AS n
+FROM q LEFT JOIN p ON p.url = q.url AND p.url <> '' GROUP BY ALL"""
+
+
+def q_longest_link_text(spark: SparkSession, folder: str) -> DataFrame:
+    """For each link target the longest text it is linked with, the first by the alphabet among equal lengths."""
+    links = table(spark, folder, "fetched_pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 0)).alias("a"))
+    both = links.select(F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("label"))
+    return both.groupBy("href").agg(F.min(F.struct((-F.length("label")).alias("n"), "label")).alias("m"), F.count("*").alias("n_links")).select("href", "m.label", "n_links")
+
+
+SQL["q_longest_link_text"] = """
+WITH a AS (SELECT unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM fetched_pages),
+b AS (SELECT regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label FROM a)
+SELECT href, arg_min(label, (-length(label), label)) AS label, count(*) AS n_links FROM b GROUP BY ALL"""
+
+
+def q_script_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by the number that an embedded script setting holds."""
+    pages = table(spark, folder, "fetched_pages").select(F.regexp_extract("html", r"var cfg=\{[^}]*page:(\d+)", 1).alias("n"))
+    return pages.where("n != ''").groupBy(F.col("n").cast("int").alias("setting")).agg(F.count("*").alias("n_pages"))
+
+
+SQL["q_script_settings"] = """
+SELECT n::INT AS setting, count(*) AS n_pages FROM (SELECT regexp_extract(html, 'var cfg=\\{[^}]*page:(\\d+)', 1) AS n FROM fetched_pages) WHERE n <> '' GROUP BY ALL"""
+
+
+def q_rule_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """How many faculty records break each rule a clean export must keep."""
+    rows = table(spark, folder, "faculty_records")
+    mail = F.lower(F.regexp_replace("email", r"\s+", ""))
+    breaks = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "no name"),
+            F.when(F.coalesce(mail, F.lit("")) == "", "no mail").when(~mail.rlike(rf"^{emails.ADDRESS}$"), "mail malformed"),
+            F.when((urls.host(F.col("profile_url")) != "") & mail.contains("@") & ~urls.within(F.regexp_extract(mail, "@(.*)$", 1), urls.host(F.col("profile_url"))), "mail of another host"),
+        )
+    )
+    return reports.exploded_counts(rows.select(breaks.alias("b")), "b", "rule")
+
+
+SQL["q_rule_breaks"] = f"""
+WITH r AS (SELECT name, lower(regexp_replace(email, '\\s+', '', 'g')) AS m, {_HOST.format('profile_url')} AS h FROM faculty_records),
+b AS (SELECT CASE WHEN coalesce(trim(name, ' '), '') = '' THEN 'no name' END AS rule FROM r
+UNION ALL SELECT CASE WHEN coalesce(m, '') = '' THEN 'no mail' WHEN NOT regexp_full_match(m, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}') THEN 'mail malformed' END FROM r
+UNION ALL SELECT CASE WHEN h <> '' AND contains(m, '@') AND NOT (regexp_extract(m, '@(.*)$', 1) = regexp_replace(h, '^www\\.', '') OR ends_with(regexp_extract(m, '@(.*)$', 1), '.' || regexp_replace(h, '^www\\.', ''))) THEN 'mail of another host' END FROM r)
+SELECT rule, count(*) AS n FROM b WHERE rule IS NOT NULL GROUP BY ALL"""
+
+
+def q_page_people(spark: SparkSession, folder: str) -> DataFrame:
+    """People on pages, of the strategy that fits each page."""
+    return page_people.chosen_people(page_people.page_people(table(spark, folder, "fetched_pages").where("html != ''")))
+
+
+def q_daily_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per day and kind, as the stream of the same name counts them."""
+    rows = table(spark, folder, "events")
+    return rows.groupBy(F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+SQL["q_daily_events"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
+
+
 def all_queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("q_") and callable(f)}
