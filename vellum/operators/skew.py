@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str, salts: int = 16, how: str = "inner", grows: bool = False) -> DataFrame:
     """Join ``rows`` with ``few`` (one row per key), each key's rows spread over ``salts`` tasks by a column of theirs.
 
     ``few`` is repeated once per salt, so it should be much smaller than ``rows``. ``how`` is inner, left, left_semi or
-    left_anti. Null keys never match.
+    left_anti. Null keys never match. With ``grows`` the few rows are never broadcast, for tables that grow with the data.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if grows:
+        repeated = repeated.hint("merge")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
