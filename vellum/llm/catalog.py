@@ -47,7 +47,7 @@ def _typed_titles(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = _typed_titles(spark, folder)
     mapped = entries_of_values(typed, table(spark, folder, "canonical_titles"))
-    return spread_join(typed, mapped.select("value", "title_id"), ["value"], "row_id").select("src", "row_id", "title_id").distinct()
+    return spread_join(typed, mapped.select("value", "title_id"), ["value"], "row_id", grows=True).select("src", "row_id", "title_id").distinct()
 
 
 def p2_misses(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,5 +144,19 @@ def queries() -> dict[str, QueryFn]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+_BLANK_SQL = "[\\s\\p{Z}\\x{200b}-\\x{200f}\\x{2060}\\x{feff}\\x{00ad}]+"
+_AROUND_SQL = r"""[.,;:!?''"`()<>\[\]{}|/\\#&\x{00b4}\x{00ab}\x{00bb}\x{2018}-\x{201f}\x{2026}\x{3001}\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}\x{ff08}\x{ff09}]+"""
+_COPIES_SQL = f"""
+WITH r AS (SELECT record_id, lower(regexp_replace(coalesce(profile_url, ''), '{_BLANK_SQL}', '', 'g')) AS u, lower(regexp_replace(coalesce(email, ''), '{_BLANK_SQL}', '', 'g')) AS m FROM faculty_records),
+s AS (SELECT record_id, regexp_replace(regexp_replace(u, '^{_AROUND_SQL}', ''), '{_AROUND_SQL}$', '') AS u, regexp_replace(regexp_replace(m, '^{_AROUND_SQL}', ''), '{_AROUND_SQL}$', '') AS m FROM r),
+k AS (SELECT record_id, m, u, regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^([^?]*)', 1), '/+', '/', 'g'), '^(https?:)/', '\\1//'), '/+$', '') AS base,
+list_sort(list_filter(string_split_regex(regexp_extract(u, '\\?(.*)$', 1), '[&;]'), lambda x: x <> '')) AS fields FROM s WHERE u <> '' OR m <> ''),
+g AS (SELECT record_id, min(record_id) OVER (PARTITION BY base, fields, m) AS keep_id FROM k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": _COPIES_SQL + "SELECT DISTINCT keep_id, record_id FROM g WHERE keep_id <> record_id",
+        "p5_copies": _COPIES_SQL + "SELECT keep_id, count(*) AS n_copies FROM g GROUP BY ALL HAVING count(*) > 1",
+    }
