@@ -151,7 +151,8 @@ def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     offsets = parts.groupBy("_b", "_k").agg(F.count("*").alias("_c"))
     offsets = offsets.withColumn("_offset", F.sum("_c").over(Window.partitionBy("_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_b", "_k").orderBy("doc_id", "_n")) - 1)
-    ranked = ranked.join(F.broadcast(offsets.select("_b", "_k", F.coalesce("_offset", F.lit(0)).alias("_offset"))), ["_b", "_k"])
+    # the offsets grow with the blocks; ranks and offsets are partitioned alike, so the join moves only the offsets
+    ranked = ranked.join(offsets.select("_b", "_k", F.coalesce("_offset", F.lit(0)).alias("_offset")), ["_b", "_k"])
     ranked = ranked.withColumn("_r", F.col("_r") + F.col("_offset"))
 
     tables = [tuple(np.array(c, dtype=np.int64) for c in zip(*s, strict=True)) if s else None for s in segments]
@@ -186,7 +187,7 @@ def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fulls = fulls.withColumn("_k", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(full_blocks)).cast("int"))
     before = fulls.groupBy("_k").agg(F.count("*").alias("_c")).withColumn("_one", F.lit(0))
     before = before.withColumn("_offset", F.coalesce(F.sum("_c").over(Window.partitionBy("_one").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fulls = fulls.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "part_no", "_n")) - 1).join(F.broadcast(before.select("_k", "_offset")), "_k")
+    fulls = fulls.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "part_no", "_n")) - 1).join(before.select("_k", "_offset"), "_k")
     fulls = fulls.select(
         "doc_id",
         "part_no",
