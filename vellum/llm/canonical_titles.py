@@ -281,9 +281,10 @@ def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "v
     listed = [(r[0], r[1]) for r in entries.select("title_id", "title").where("title is not null").distinct().collect()]
     names = _names(spark, listed)
     distinct = values.select(F.col(value_col).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct()
-    # few bytes but much work a row: an explicit number of parts, which small sizes don't merge again
+    # Few bytes but much work a row: an explicit number of parts, which small sizes don't merge again. The hash as the key
+    # keeps the shuffle, which would be dropped as a repetition of the one for the distinct values.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cut_lineage(distinct.repartition(parts, "value").withColumn("_hs", _heads("value")))
+    distinct = cut_lineage(distinct.repartition(parts, F.xxhash64("value")).withColumn("_hs", _heads("value")))
     headed = distinct.select("value", F.explode_outer("_hs").alias("_h")).select("value", "_h.p", "_h.h")
     exact = headed.join(F.broadcast(names), F.col("h") == F.col("name")).groupBy("value").agg(F.min(F.struct("p", "title_id")).alias("_e")).select("value", "_e.title_id", F.lit(0.0).alias("cost"))
     used = F.broadcast(exact.groupBy("title_id").agg(F.count("*").alias("_used")))
@@ -293,8 +294,8 @@ def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "v
     dictionary = spark.createDataFrame(near_names, "d string, name string, title_id bigint, most int") if near_names else spark.createDataFrame([], "d string, name string, title_id bigint, most int")
     if len(near_names) <= BROADCAST_ROWS:
         dictionary = F.broadcast(dictionary)
-    heads_missed = missed.select("h").distinct().repartition(parts, "h").select("h", F.explode(_deletes("h")).alias("d"))
-    pairs = heads_missed.join(dictionary, "d").select("h", "name", "title_id", "most").distinct()
+    heads_missed = missed.select("h").distinct().repartition(parts, F.xxhash64("h")).select("h", F.explode(_deletes("h")).alias("d"))
+    pairs = heads_missed.join(dictionary, "d").select("h", "name", "title_id", "most").distinct().repartition(parts, F.xxhash64("h", "name"))
     pairs = pairs.withColumn("cost", _cost("h", "name")).where(F.col("cost") <= F.col("most") + 0.05)
     ranked = missed.join(pairs, "h").join(used, "title_id", "left")
     best = ranked.groupBy("value").agg(F.min(F.struct(F.ceil("cost").alias("steps"), "p", "cost", -F.coalesce("_used", F.lit(0)), "title_id")).alias("_b"))
