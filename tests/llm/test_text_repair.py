@@ -47,6 +47,22 @@ def test_prefilter_lets_every_case_through(spark):
     assert garbled_values(rows.limit(0), "id", "t").count() == 0
 
 
+def test_prefilter_passes_each_garbled_form_of_each_title(spark):
+    from vellum.llm.mojibake import LEGACY_WRITERS, WRONG_READERS, _byte_table
+
+    titles = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/canonical_titles.parquet").select("title").collect()] + WORDS
+    cases = {"璁插笀", "涓撲换璁插笀", "鞐瓣惮甑愳垬", "MaĂ®tre de confĂ©rences", "CatedrĂˇtico", "Professor??"}
+    for t in titles:
+        cases |= {"".join(_byte_table(r)[b] for b in t.encode()) for r in WRONG_READERS}
+        cases |= {"".join(_byte_table(r)[b] for b in t.encode(w, "ignore")) for w in LEGACY_WRITERS for r in ("latin-1", "cp1252")}
+        cases |= {t.encode().decode("gb18030", "ignore")}
+        cases |= {t.encode(w, "ignore").decode(r, "ignore") for w, r in (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5"))}
+    bad = {c for c in cases if restore(c, True)[0]}
+    assert {"璁插笀", "涓撲换璁插笀", "鞐瓣惮甑愳垬", "MaĂ®tre de confĂ©rences", "CatedrĂˇtico", "Professor??"} <= bad
+    df = spark.createDataFrame([(c,) for c in bad], "t string")
+    assert bad - {r[0] for r in df.where(suspicious(F.col("t"))).collect()} == set()
+
+
 def test_canonical_forms(spark):
     pairs = {
         "Ｐｒｏｆ．": "Prof.", "𝐃ean": "Dean", "ﬁeld": "field", "José": "José", "Pro​fessor": "Professor", "Senior Fellow": "Senior Fellow",

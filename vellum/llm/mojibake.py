@@ -284,19 +284,57 @@ def restore(text: str | None, short: bool = False) -> tuple[bool, str | None, bo
     return now != text or lost or control, now, lost or (control and re.search(r"[\u0080-\u0084\u0086-\u009f]", now) is not None)
 
 
-#: A cheap necessary condition for ``restore`` to find anything, evaluated in the JVM.
-_MARKS_1252 = r" -¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ\u0080-\u009f"
-SUSPICIOUS = (
-    r"�|[\u0080-\u009f]"
-    rf"|[Â-ß][{_MARKS_1252}]|[à-ï][{_MARKS_1252}][{_MARKS_1252}]"
-    r"|[¡-ÿ](?:[ \x40-\x7e]?[¡-ÿ]){2}"
-    r"|[В-Яа-п][Ђ-Џђ-џҐґ -»‚„…†‡€‰‹‘’“”•–—™›ё№]"
-    r"|[√¬≈ƒŒœÿŸ–—][Ä-ü† -¿™≠∞≤≥∂∑∏π∫Ω]"
-    r"|[‚„‰Á-Ô][Ä-ü† -¿™≠∞≤≥∂∑∏π∫Ω•]"
-    r"|[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}|[БГДЖЙПФЦЩЪЬЮЯ]{3}|[бвгджзйклмнпрстфхцчшщ]{5}|[йъыьюя]{3}"
-    r"|[─-▓]"
-    r"|[一-龥][-─-㏿°-÷]|[鈀-闿][一-龥]"
-    r"|[^\W\d_]\?+[^\W\d_]|(?:^|[\s('’\"\[-])\?+\w|(?m:^[\s()/.,-]*\?[\s?()/.,-]*$)|\s\?\s"
+def _char_class(chars: set[str]) -> str:
+    """A character class of the JVM's regular expressions with exactly these characters."""
+    points, parts = sorted(map(ord, chars)), []
+    for o in points:
+        if parts and parts[-1][1] == o - 1:
+            parts[-1][1] = o
+        else:
+            parts.append([o, o])
+    return "[" + "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if b > a else "") for a, b in parts) + "]"
+
+
+def _form_pattern() -> str:
+    """The garbled forms of all expected characters for all readers, from the same tables as the automaton."""
+    cyrillic, others, starts = [], [], set()
+    for reader in WRONG_READERS:
+        table = _byte_table(reader)
+        after: dict[tuple[int, str], set[str]] = {}
+        for a, b in EXPECTED_RANGES:
+            for o in range(a, b + 1):
+                raw = chr(o).encode()
+                after.setdefault((len(raw), table[raw[0]]), set()).add(table[raw[1]])
+        leads: dict[tuple[int, str], set[str]] = {}
+        for (width, lead), second in after.items():
+            leads.setdefault((width, _char_class(second)), set()).add(lead)
+        any_last = _char_class({table[x] for x in range(0x80, 0xC0)})
+        forms = [_char_class(first) + second + any_last * (width - 2) for (width, second), first in leads.items()]
+        if reader == "cp1251":
+            cyrillic += forms
+        else:
+            others += forms
+            starts |= set().union(*leads.values())
+    return rf"(?=[Ѐ-ӿ])(?:{'|'.join(cyrillic)})|(?={_char_class(starts)})(?:{'|'.join(others)})"
+
+
+# The characters of a run that count in ``_solid``, and those that don't.
+_SOLID_1252 = r"[\u0080-\u009f¡-ª¬-º¼-ÿ]"
+_THIN_1252 = r"[\u00a0«»ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
+
+#: A necessary condition for ``restore`` to find anything, evaluated in the JVM: one alternative for each way it can find something.
+SUSPICIOUS = "|".join(
+    (
+        r"�|[\u0080-\u009f]",
+        _form_pattern(),
+        # three letters of Latin-1 in one run
+        rf"{_SOLID_1252}(?:(?:[ \x40-\x7e]?{_THIN_1252})*[ \x40-\x7e]?{_SOLID_1252}){{2}}",
+        _HAN_RUN.pattern.replace("{3,}", "{3}"),
+        # Cyrillic words of four characters or more in all
+        r"[А-яЁё]{4}|[А-яЁё]{2}[А-яЁё]?[. ]+[А-яЁё]{2}",
+        # lost letters
+        r"\?[\p{L}\p{Nl}\p{No}?]|[\s\x1c-\x1f]\?[\s\x1c-\x1f]|\A[\s\x1c-\x1f()/.,-]*\?",
+    )
 )
 
 
