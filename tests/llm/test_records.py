@@ -95,3 +95,18 @@ def test_people(spark):
     pairs = {tuple(r) for r in same_person_pairs(df).where("id_a < 100").collect()}
     assert pairs == set(combinations([1, 2, 3, 4, 10], 2)) | {(6, 7), (8, 9)}
     assert people(df.limit(0)).count() == 0
+
+
+def people_of_unit(spark, names):
+    rows = [(1, i, n) for i, n in enumerate(names)]
+    groups = {}
+    for r in people(spark.createDataFrame(rows, "unit_id long, record_id long, name string")).collect():
+        groups.setdefault(r["person"], set()).add(names[r["record_id"]])
+    return sorted(map(sorted, groups.values()))
+
+
+def test_every_neighbour_is_linked(spark):
+    # both typing errors are one edit from a reading that no row has, and two from each other
+    assert people_of_unit(spark, ["A. Voskar-Branik", "A. Voskor", "A. Voksar"]) == [["A. Voksar", "A. Voskar-Branik", "A. Voskor"]]
+    # a typing error as near to a namesake with more rows as to its own person stays with both
+    assert people_of_unit(spark, ["A. Tolmarek", "A. Tolmerik", "A. Tolmarik", "A. Tolmirik", "B. Tolmarek"]) == [["A. Tolmarek", "A. Tolmarik", "A. Tolmerik", "A. Tolmirik"], ["B. Tolmarek"]]

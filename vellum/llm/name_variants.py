@@ -5,7 +5,7 @@ surname whatever their order: which tokens are given names follows from how ofte
 A person is then known by first initial and surname, so all rows with the same two are one node. The nodes of a unit are
 sharded by initial and by the first, and again by the last, letter of the surname; each shard's surnames form a trie, along
 which a Levenshtein automaton walks for every surname to list its neighbours within a bounded distance. A node is linked to
-its nearest neighbour whose given names agree; the links' components are the people.
+every neighbour whose given names agree; the links' components are the people.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ def given_agree(a: list[str], b: list[str], surname_edits: int) -> bool:
     return False
 
 
-_LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("edits", T.IntegerType()), T.StructField("b_rows", T.LongType())])
+_LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
 
 def _shard_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,14 +242,14 @@ def _shard_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_name = {r[2]: r for r in rows}
         trie = Trie(list(by_name))
         out = []
-        for surname, (_, node, _, given, n) in by_name.items():
+        for surname, (_, node, _, given) in by_name.items():
             most = allowed_edits(surname)
             if not most:
                 continue
             for other, edits in trie.near(surname, most):
-                _, node2, _, given2, n2 = by_name[other]
-                if edits <= allowed_edits(other) and given_agree(list(given), list(given2), edits):
-                    out.append((node, node2, edits, n2))
+                _, node2, _, given2 = by_name[other]
+                if node < node2 and edits <= allowed_edits(other) and given_agree(list(given), list(given2), edits):
+                    out.append((node, node2))
         return out
 
     shard, held, found = None, [], []
@@ -260,10 +260,10 @@ def _shard_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shard, held = row[0], []
             held.append(row)
         if len(found) > 5_000:
-            yield pd.DataFrame(found, columns=["a", "b", "edits", "b_rows"])
+            yield pd.DataFrame(found, columns=["a", "b"])
             found = []
     found += links(held)
-    yield pd.DataFrame(found, columns=["a", "b", "edits", "b_rows"])
+    yield pd.DataFrame(found, columns=["a", "b"])
 
 
 _FORMS = T.ArrayType(T.StructType([T.StructField("i", T.StringType()), T.StructField("g", T.StringType()), T.StructField("s", T.StringType())]))
@@ -322,25 +322,22 @@ def people(rows: DataFrame, unit_col: str = "unit_id", id_col: str = "record_id"
     key = lambda f: F.concat_ws("|", F.col("unit_id").cast("string"), f["i"], f["s"])
     main = F.get("_f", F.lit(0))
     placed = cut_lineage(placed.select("unit_id", "record_id", key(main).alias("node"), "_f"))
-    reading = lambda f, n: F.struct(key(f).alias("node"), f["i"].alias("i"), f["s"].alias("s"), f["g"].alias("g"), F.lit(n).alias("n"))
-    # other readings of a name are nodes without rows of their own, tied to the first reading
-    readings = placed.select("unit_id", F.explode(F.concat(F.array(reading(main, 1)), F.transform(F.slice("_f", 2, 20), lambda f: reading(f, 0)))).alias("x"))
+    reading = lambda f: F.struct(key(f).alias("node"), f["i"].alias("i"), f["s"].alias("s"), f["g"].alias("g"))
+    # other readings of a name may be nodes without rows of their own, tied to the first reading
+    readings = placed.select("unit_id", F.explode(F.transform("_f", reading)).alias("x"))
     nodes = readings.groupBy("x.node").agg(
         F.first("unit_id").alias("unit_id"),
         F.first("x.i").alias("i"),
         F.first("x.s").alias("s"),
         F.array_compact(F.collect_set(F.nullif("x.g", F.lit("")))).alias("g"),
-        F.sum("x.n").alias("n"),
     )
     nodes = cut_lineage(nodes)
     ends = F.array(F.concat(F.lit("<"), F.substring("s", 1, 1)), F.concat(F.lit(">"), F.substring("s", -1, 1)))
     sharded = nodes.where("i != '' and length(s) > 4").withColumn("_e", F.explode(ends))
-    sharded = sharded.select(F.concat_ws("|", F.col("unit_id").cast("string"), "i", "_e").alias("shard"), "node", "s", "g", "n")
+    sharded = sharded.select(F.concat_ws("|", F.col("unit_id").cast("string"), "i", "_e").alias("shard"), "node", "s", "g")
     found = sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(_shard_links, _LINKS)
-    # the nearest neighbour of each node, among equals the one with more rows
-    nearest = found.where("b_rows > 0").groupBy("a").agg(F.min(F.struct("edits", -F.col("b_rows"), "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
     others = placed.where(F.size("_f") > 1).select(F.col("node").alias("a"), F.explode(F.slice("_f", 2, 20)).alias("_x"), "unit_id").select("a", key(F.col("_x")).alias("b")).distinct()
-    links = nearest.unionByName(others)
+    links = found.unionByName(others)
     grouped = connected_components(links)
     return placed.select("unit_id", "record_id", "node").distinct().join(grouped, "node", "left").select("unit_id", "record_id", F.coalesce("component", "node").alias("person"))
 
