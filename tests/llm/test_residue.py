@@ -27,3 +27,23 @@ def test_empty_table_and_long_text(spark):
 def test_column_is_replaced(spark, name):
     rows = spark.createDataFrame([("A", "x", "mine")], f"title string, text string, {name} string")
     assert residue_kinds(rows).first()["residue"] == []
+
+
+FILLER_CASES = [
+    ("Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", True),
+    ("Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", True),
+    ("Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod tempor invidunt.", True),
+    ("Biography: Lorem ipsum dolor sit amet, consectetur adipiscing elit.", True),
+    ("She has taught here since 1999. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum.", True),
+    ("A chapter on lorem ipsum dolor sit amet shows how dummy copy shapes the design of a printed page.", False),
+    ("Her edition of De vita et moribus in honorem magistri est in usum scholarum.", False),
+]
+
+
+def test_filler_by_density(spark):
+    from vellum.llm.main_content import is_residue
+
+    rows = spark.createDataFrame([(i, "A", f"Ada\n{x}\nmore") for i, (x, _) in enumerate(FILLER_CASES)], "page_id int, title string, text string")
+    got = {r["page_id"]: "filler" in r["residue"] for r in residue_kinds(rows).collect()}
+    assert [got[i] for i in range(len(FILLER_CASES))] == [c[1] for c in FILLER_CASES]
+    assert [is_residue(x) for x, _ in FILLER_CASES] == [True, True, True, True, False, False, False]  # a line that also has a real sentence stays

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.residue import ERRORS, FILLER, NOTICES, REFERENCE
+from vellum.llm.residue import ERRORS, FILLER, FILLER_LEAST, FILLER_ONLY_LEAST, FILLER_ONLY_WORD, FILLER_SHARE, FILLER_WORD, NOTICES, REFERENCE
 
 _TOKEN = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<![^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i img input ins kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
@@ -54,9 +54,19 @@ def _python(pattern: str) -> re.Pattern[str]:
 _RESIDUE = [_python(p) for p in (ERRORS, NOTICES, FILLER, REFERENCE)]
 
 
+_FILLER_ONLY_WORD, _FILLER_WORD, _ANY_WORD = (re.compile(p, re.I) for p in (FILLER_ONLY_WORD, FILLER_WORD, r"[^\W\d_]+"))
+
+
+def _dummy_copy(line: str) -> bool:
+    """Most words of the line, and of each of its sentences, are those of dummy copy."""
+    if len(_FILLER_ONLY_WORD.findall(line)) < FILLER_ONLY_LEAST or len(_FILLER_WORD.findall(line)) < FILLER_LEAST:
+        return False
+    return all(len(_FILLER_WORD.findall(s)) >= FILLER_SHARE * len(_ANY_WORD.findall(s)) for s in re.split(r"(?<=[.!?。！？…])\s+", line))
+
+
 def is_residue(line: str) -> bool:
     """The whole line is an error message, a notice, filler or a bare reference number."""
-    return any(p.match(line) for p in _RESIDUE)
+    return any(p.match(line) for p in _RESIDUE) or _dummy_copy(line)
 
 
 class Node:

@@ -60,6 +60,22 @@ LATIN_FILLER = (
     "vestibulum", "mauris", "vivamus", "praesent", "donec", "etiam", "aenean", "cras", "duis", "fusce", "integer", "morbi", "nam", "nullam", "pellentesque",
     "phasellus", "proin", "sagittis", "suspendisse", "ullamcorper", "ut", "enim", "minim", "veniam", "quis", "et", "in", "ac", "at", "non", "id", "vel",
 )
+#: The words of the standard copies that hardly occur elsewhere, and those that are also ordinary words of some language.
+FILLER_ONLY = (
+    "lorem", "ipsum", "amet", "consectetur", "consectetuer", "consetetur", "adipiscing", "adipisicing", "sadipscing", "elitr", "eiusmod", "eirmod", "tempor", "incididunt", "invidunt", "labore", "aliqua", "aliquyam",
+    "veniam", "nostrud", "exercitation", "ullamco", "laboris", "aliquip", "commodo", "consequat", "irure", "reprehenderit", "voluptate", "velit", "cillum", "fugiat", "pariatur", "excepteur", "occaecat", "cupidatat",
+    "proident", "mollit", "laborum", "deserunt", "nonumy", "voluptua", "accusam", "rebum", "clita", "kasd", "gubergren", "takimata", "sanctus", "nibh", "euismod", "tincidunt", "laoreet", "aliquam", "volutpat", "wisi", "tation", "lobortis",
+    "vestibulum", "mauris", "vivamus", "praesent", "aenean", "fusce", "morbi", "pellentesque", "phasellus", "proin", "sagittis", "suspendisse", "ullamcorper", "vulputate", "molestie", "feugiat", "dignissim", "faucibus", "tristique", "curabitur", "malesuada",
+)
+_ALSO_FILLER = (
+    *LATIN_FILLER, "do", "dolore", "dolores", "ad", "nisi", "ex", "ea", "aute", "esse", "eu", "sint", "non", "sunt", "culpa", "qui", "officia", "anim", "est", "diam", "erat", "justo", "duo", "vero", "eos", "accusam", "stet", "no", "sea",
+    "ligula", "a", "nec", "cum", "sociis", "natoque", "penatibus", "magnis", "dis", "parturient", "montes", "nascetur", "ridiculus", "mus", "libero", "leo", "metus", "urna", "tellus", "lacus", "quam", "ante", "arcu", "enim", "pede", "dui", "iriure", "hendrerit",
+    "vel", "illum", "facilisis", "eros", "et", "accumsan", "iusto", "odio", "blandit", "luptatum", "zzril", "delenit", "augue", "duis", "te", "facilisi", "suscipit", "nisl", "autem", "eum",
+)
+FILLER_WORD = rf"\b(?:{'|'.join(sorted({*FILLER_ONLY, *_ALSO_FILLER}))})\b"
+FILLER_ONLY_WORD = rf"\b(?:{'|'.join(sorted(FILLER_ONLY))})\b"
+#: A line or sentence is filler with so many words of the copies, so many of the rare ones, and this share of all its words.
+FILLER_LEAST, FILLER_ONLY_LEAST, FILLER_SHARE = 4, 2, 0.6
 _FILLER_LINES = (
     rf"(?:(?:{'|'.join(LATIN_FILLER)})[\s.,;]+){{4,}}(?:{'|'.join(LATIN_FILLER)})?[.,;]?",
     r"(?:x{3,}|test|mustertext|пример текста|示例文字|占位文字|サンプルテキスト|ダミーテキスト|texto de ejemplo|sample text)(?:[\s.,]*(?:x{3,}|test|mustertext|пример текста|示例文字|占位文字|サンプルテキスト|ダミーテキスト|sample text))+",
@@ -126,6 +142,15 @@ def slots_left(text: Column) -> Column:
     return text.rlike(SLOT) & F.regexp_replace(text, TALK, " ").rlike(SLOT)
 
 
+def has_filler(text: Column) -> Column:
+    """True where a whole line is filler, or where most words of a line or sentence are those of dummy copy."""
+    count = lambda s, p: F.regexp_count(s, F.lit(p))
+    words, known, only = (lambda s, p=p: count(s, p) for p in (r"[\p{L}\p{M}]+", f"(?iU){FILLER_WORD}", f"(?iU){FILLER_ONLY_WORD}"))
+    dense = lambda s: (only(s) >= FILLER_ONLY_LEAST) & (known(s) >= FILLER_LEAST) & (known(s) >= FILLER_SHARE * words(s))
+    parts = F.concat(F.split(text, r"\n"), F.split(text, r"\n|(?<=[.!?。！？…])\s+"))
+    return text.rlike(FILLER) | (text.rlike(f"(?i){FILLER_ONLY_WORD}") & F.exists(parts, dense))
+
+
 def title_head(title: Column) -> Column:
     """The page's part of a title, before the site's name."""
     return F.regexp_replace(title, r"\s+(?:[|–—:-]|::|·|»)\s+[^|–—]*$", "")
@@ -143,7 +168,7 @@ def residue_kinds(rows: DataFrame, text_col: str = "text", title_col: str = "tit
         F.array(
             F.when(slots_left(text) | slots_left(title), "slot"),
             F.when(head.rlike(_whole_line(_DEFAULT_TITLES)), "default_title"),
-            F.when(text.rlike(FILLER) | head.rlike(FILLER), "filler"),
+            F.when(has_filler(text) | has_filler(head), "filler"),
             F.when(text.rlike(ERRORS) | head.rlike(ERRORS) | head.rlike(REFERENCE) | text.rlike(REFERENCE), "error"),
             F.when(text.rlike(NOTICES) | head.rlike(NOTICES), "notice"),
         )
