@@ -47,3 +47,20 @@ def test_filler_by_density(spark):
     got = {r["page_id"]: "filler" in r["residue"] for r in residue_kinds(rows).collect()}
     assert [got[i] for i in range(len(FILLER_CASES))] == [c[1] for c in FILLER_CASES]
     assert [is_residue(x) for x, _ in FILLER_CASES] == [True, True, True, True, False, False, False]  # a line that also has a real sentence stays
+
+
+LISTING_CASES = [
+    ("This course explains the syntax of templates.\n<%= member.role %>\n{{ staff.title }}\nThen the page is shown.", []),
+    ("The placeholder stands here:\n{{ staff.title }}\nand is replaced.", []),
+    ("Exercise 3\nfunction show(member) {\n  var line = \"{{ staff.title }}\";\n  return line(member);\n}\nHand it in by Friday.", []),
+    ("A tutorial:\n" + "{{ staff.title }}\nx = f(1);\n" * 20_000 + "End.", []),
+    ("Ada\n{{ staff.title }}\n{{ staff.mail }}\nText", ["slot"]),
+    ("She teaches programming.\n{{ staff.title }}\n{{ staff.mail }}\nText", ["slot"]),
+    ("A tutorial on templates:\n{{ staff.title }}\nWritten by the group.\nContact {{ staff.mail }} for more", ["slot"]),
+]
+
+
+def test_slots_in_listings_are_discounted(spark):
+    rows = spark.createDataFrame([(i, "A", x) for i, (x, _) in enumerate(LISTING_CASES)], "page_id int, title string, text string")
+    got = {r["page_id"]: r["residue"] for r in residue_kinds(rows).collect()}
+    assert [got[i] for i in range(len(LISTING_CASES))] == [c[1] for c in LISTING_CASES]

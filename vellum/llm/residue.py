@@ -2,7 +2,7 @@
 
 All patterns run as JVM regular expressions over title and text; no row leaves the JVM and nothing is shuffled. Slots are
 recognised by a grammar per delimiter; sentences that talk about templates, scripts or errors are discounted by what
-surrounds them, and messages only count as whole lines.
+surrounds them, so are slots in runs of code lines, and messages only count as whole lines.
 """
 
 from __future__ import annotations
@@ -60,6 +60,17 @@ LATIN_FILLER = (
     "vestibulum", "mauris", "vivamus", "praesent", "donec", "etiam", "aenean", "cras", "duis", "fusce", "integer", "morbi", "nam", "nullam", "pellentesque",
     "phasellus", "proin", "sagittis", "suspendisse", "ullamcorper", "ut", "enim", "minim", "veniam", "quis", "et", "in", "ac", "at", "non", "id", "vel",
 )
+# Lines of a code listing: nothing but slots and signs, or code punctuation. A listing is a run of such lines below a line that
+# talks about templates or code (one is enough after a colon), or three lines with code punctuation in a row.
+_SLOT_LINE = rf"[^\S\n]*(?:{SLOT})(?:{SLOT}|[^\S\n]|[\p{{P}}\p{{S}}])*+"
+_CODE_LINE = r"(?:(?=[^\n]*[=(){}<>])[^\n]*;|[^\n]*[^{\n]\{(?!\{)|[^\S\n]*\}[;,)]*|[^\S\n]*(?:<[a-zA-Z][^<>\n]*>[^\n]*)?</\w+>|[^\S\n]*(?://|#!)[^\n]*)[^\S\n]*"
+_LISTED = rf"(?:(?:{_SLOT_LINE}|{_CODE_LINE}|[^\S\n]*(?=\n))(?:\n|\z))"
+LISTING = (
+    rf"(?im)(^[^\n]*(?:{_TALK_WORDS})[^\n]*[:：][^\S\n]*\n){_LISTED}++"
+    rf"|(^[^\n]*(?:{_TALK_WORDS.replace('programming|', '')})[^\n]*\n)(?:[^\S\n]*\n)*+{_LISTED}{{2,}}+"
+    rf"|(?:^{_SLOT_LINE}\n)*+(?:^{_CODE_LINE}(?:\n|\z)){{3,}}+{_LISTED}*+"
+)
+
 #: The words of the standard copies that hardly occur elsewhere, and those that are also ordinary words of some language.
 FILLER_ONLY = (
     "lorem", "ipsum", "amet", "consectetur", "consectetuer", "consetetur", "adipiscing", "adipisicing", "sadipscing", "elitr", "eiusmod", "eirmod", "tempor", "incididunt", "invidunt", "labore", "aliqua", "aliquyam",
@@ -138,8 +149,9 @@ REFERENCE = _whole_line((_CODE,))
 
 
 def slots_left(text: Column) -> Column:
-    """True where a slot is left unfilled, outside sentences that talk about templates or code."""
-    return text.rlike(SLOT) & F.regexp_replace(text, TALK, " ").rlike(SLOT)
+    """True where a slot is left unfilled, outside code listings and sentences that talk about templates or code."""
+    prose = F.regexp_replace(text, LISTING, "$1$2\n")
+    return text.rlike(SLOT) & F.regexp_replace(prose, TALK, " ").rlike(SLOT)
 
 
 def has_filler(text: Column) -> Column:
