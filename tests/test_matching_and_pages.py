@@ -69,3 +69,12 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "j" / "2.json").write_text('{"run": "r", "n": 3, "more": 1}')
     with pytest.raises(Exception, match="unexpected fields"):
         sinks.strict_json(spark, str(tmp_path / "j"), schema).collect()
+
+
+def test_language_is_found_behind_a_long_comment(spark, tmp_path):
+    from vellum.plans.queries import q_page_inventory
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/fetched_pages.parquet").where("final_url like 'http%'").limit(1)
+    late = F.lit("<!-- " + "x" * 5000 + ' --><html class="a" lang="pt"><body></body></html>')
+    pages.withColumn("html", late).write.parquet(str(tmp_path / "fetched_pages.parquet"))
+    assert [(r["lang"], r["n_pages"]) for r in q_page_inventory(spark, str(tmp_path)).collect()] == [("pt", 1)]

@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 
 def q_page_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct pages by address, the first fetch of each, counted by host and language."""
-    pages = table(spark, folder, "fetched_pages").select("page_id", "final_url", F.regexp_extract(F.substring("html", 1, 2000), r"<html[^>]*\slang=[\"']?([A-Za-z]+)", 1).alias("lang"))
+    pages = table(spark, folder, "fetched_pages").select("page_id", "final_url", F.regexp_extract("html", r"<html[^>]*\slang=[\"']?([A-Za-z]+)", 1).alias("lang"))
     first = dedup.first_per_key(pages, urls.page_key(F.col("final_url")), F.col("page_id"))
     return first.groupBy(urls.host(F.col("final_url")).alias("host"), "lang").agg(F.count("*").alias("n_pages"))
 
