@@ -280,7 +280,7 @@ def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "v
     spark = values.sparkSession
     listed = [(r[0], r[1]) for r in entries.select("title_id", "title").where("title is not null").distinct().collect()]
     names = _names(spark, listed)
-    distinct = values.select(F.col(value_col).alias("value")).where(F.col("value").rlike(r"(?U)\S")).distinct()
+    distinct = values.select(F.col(value_col).alias("value")).where(F.col("value").rlike(r"(?U)\S")).groupBy("value").agg(F.count("*").alias("n_rows"))
     # Few bytes but much work a row: an explicit number of parts, which small sizes don't merge again. The hash as the key
     # keeps the shuffle, which would be dropped as a repetition of the one for the distinct values.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -300,4 +300,4 @@ def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "v
     ranked = missed.join(pairs, "h").join(used, "title_id", "left")
     best = ranked.groupBy("value").agg(F.min(F.struct(F.ceil("cost").alias("steps"), "p", "cost", -F.coalesce("_used", F.lit(0)), "title_id")).alias("_b"))
     found = exact.unionByName(best.select("value", "_b.title_id", "_b.cost"))
-    return distinct.join(found, "value", "left").select("value", F.coalesce("title_id", F.lit(0)).alias("title_id"), "cost")
+    return distinct.join(found, "value", "left").select("value", F.coalesce("title_id", F.lit(0)).alias("title_id"), "cost", "n_rows")

@@ -47,7 +47,7 @@ def _typed_titles(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = _typed_titles(spark, folder)
     mapped = entries_of_values(typed, table(spark, folder, "canonical_titles"))
-    return spread_join(typed, mapped.select("value", "title_id"), ["value"], "row_id", grows=True).select("src", "row_id", "title_id").distinct()
+    return spread_join(typed, mapped.select("value", "title_id", "n_rows"), ["value"], "row_id", count="n_rows").select("src", "row_id", "title_id").distinct()
 
 
 def p2_misses(spark: SparkSession, folder: str) -> DataFrame:

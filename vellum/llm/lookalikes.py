@@ -182,7 +182,7 @@ def stored_differently(rows: DataFrame, id_col: str, fields: list[str], leave_ou
         long = long.unionByName(other)
     long = long.where(F.col("value").rlike(r"[^\x00-\x7f]"))
     changed = canonical_forms(long).where("canonical != value")
-    out = spread_join(long, changed, ["value"], "record_id", salts=4, grows=True)
+    out = spread_join(long, changed, ["value"], "record_id", count="n_rows")
     if leave_out is not None:
         out = out.join(leave_out.select("field_name", "value").distinct(), ["field_name", "value"], "left_anti")
     return out.select("record_id", "field_name", "value", "canonical")

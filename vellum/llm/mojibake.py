@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.operators.skew import spread_join
+from vellum.session import cut_lineage
 
 #: Encodings in which UTF-8 bytes were read by mistake. Bytes that an encoding leaves undefined stay as control characters.
 WRONG_READERS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp850", "cp437", "cp1254", "cp1250")
@@ -353,12 +354,13 @@ def restored(value: Column, short: bool = False) -> Column:
         for batch in batches:
             yield pd.DataFrame([restore(x, short) for x in batch], columns=["garbled", "restored", "lost"])
 
-    return run(value)
+    # non-deterministic by declaration, so that the optimiser evaluates it once, where it stands
+    return run.asNondeterministic()(value)
 
 
 def garbled_distinct(rows: DataFrame, text_col: str, short: bool = False) -> DataFrame:
-    """``_text, _r`` for each distinct garbled text."""
-    seen = rows.select(F.col(text_col).alias("_text")).where(suspicious(F.col("_text"))).distinct()
+    """``_text, n_rows, _r`` for each distinct garbled text."""
+    seen = rows.select(F.col(text_col).alias("_text")).where("_text != ''").groupBy("_text").agg(F.count("*").alias("n_rows")).where(suspicious(F.col("_text")))
     return seen.withColumn("_r", restored(F.col("_text"), short)).where("_r.garbled")
 
 
@@ -366,7 +368,7 @@ def garbled_values(rows: DataFrame, id_col: str, text_col: str, short: bool = Fa
     """``row_id, restored, lost`` of the rows whose text is garbled. Null and empty texts are not; ids may repeat."""
     seen = rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text")).where(suspicious(F.col("_text")))
     if short:  # titles repeat a lot: each distinct value is looked at once
-        seen = spread_join(seen, garbled_distinct(seen, "_text", True), ["_text"], "row_id", salts=4, grows=True)
+        seen = spread_join(seen, cut_lineage(garbled_distinct(seen, "_text", True)), ["_text"], "row_id", count="n_rows")
     else:
         seen = seen.withColumn("_r", restored(F.col("_text"))).where("_r.garbled")
     return seen.select("row_id", F.col("_r.restored").alias("restored"), F.col("_r.lost").alias("lost"))
