@@ -45,6 +45,48 @@ def test_positions_are_kept_and_odd_texts(spark):
     assert sentences(df.limit(0)).count() == 0
 
 
+def test_long_quotations_brackets_and_addresses_have_no_bound(spark):
+    inside = " ".join(f"Part {i} was read. Nobody spoke!" for i in range(400))
+    want = [f"“{inside}” was all he said.", f"It ended ({inside}) at noon.", "See www.a.example/" + "x" * 5000 + "?a=1 for more.", f"He wrote: “{inside}”", "Nothing followed."]
+    assert split(spark, " ".join(want)) == want
+    greek = "Τι " + "λέει " * 300 + "τώρα;"
+    assert split(spark, greek + " Ναι.") == [greek, "Ναι."]
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "He said “no. Never” (it was late). " * n)], "doc_id int, text string")
+        began = time.time()
+        assert sentences(df).count() == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 60 * max(seconds(4_000), 0.5)
+
+
+def test_seeds_meet_every_passage_of_twelve_with_two_edits():
+    import itertools
+
+    from vellum.llm.leakage import MASKS, seeds_at, variants
+
+    item = np.random.default_rng(3).integers(1, 2**62, 12)
+    own = {int(x) for m, mask in enumerate(MASKS) for v in variants(mask) for x in seeds_at(item, v, m)}
+    forms = set()
+    for k in range(3):
+        for kinds in itertools.product("cda", repeat=k):
+            for places in itertools.combinations_with_replacement(range(12), k):
+                out = []
+                for i in range(12):
+                    here = [kind for kind, at in zip(kinds, places, strict=True) if at == i]
+                    out += [-1] * here.count("a") + ([-1] if "c" in here else [] if "d" in here else [i])
+                forms.add(tuple(out))
+    for form in forms:
+        doc = np.array([item[i] if i >= 0 else 2**62 + 7 * n for n, i in enumerate(form)], np.int64)
+        assert any(int(x) in own for m, mask in enumerate(MASKS) for x in seeds_at(doc, variants(mask)[0], m)), form
+
+
 def test_bucket_boundaries_are_optimal():
     from itertools import combinations
 
