@@ -21,6 +21,26 @@ def test_utf8_read_otherwise_comes_back(text, reader):
         assert back == text and not lost
 
 
+@pytest.mark.parametrize("text", ["שלום לכולם", "हिन्दी विभाग", "ქართული", "Հայերեն", "fine 😀 day", "𠀀𠀁", "Ελληνικά", "Кафедра"])
+@pytest.mark.parametrize("reader", ["cp1252", "latin-1", "cp866", "koi8_r", "mac_roman"])
+def test_other_scripts_and_four_byte_characters(text, reader):
+    from vellum.llm.mojibake import _byte_table
+
+    garbled = "".join(_byte_table(reader)[b] for b in text.encode())
+    assert restore(garbled)[:2] == (True, text)
+
+
+def test_many_layers_and_other_single_byte_readers():
+    text = "Catedrático"
+    for _ in range(5):
+        text = text.encode().decode("latin-1")
+    assert restore(text)[1] == "Catedrático"
+    assert [restore("conférences".encode("cp1252").decode(r))[:2] for r in ("cp1251", "mac_roman", "cp850")] == [(True, "conférences")] * 3
+    assert [restore(t, True)[0] for t in ("Дoцeнт", "Prоfessоr", "McÉwan 3D-модель", "Gestionnaire de scolarit?", "IT-отдел")] == [False, False, False, True, False]
+    assert restore("ภาควิชา".encode("cp874").decode("latin-1"), True)[:2] == (True, "ภาควิชา")
+    assert restore("國立臺灣大學".encode("big5").decode("latin-1"), True)[:2] == (True, "國立臺灣大學")
+
+
 def test_legacy_encodings_and_losses():
     assert restore("副教授".encode("gbk").decode("latin-1"), True)[:2] == (True, "副教授")
     assert restore("Доцент".encode("cp1251").decode("latin-1"), True)[:2] == (True, "Доцент")

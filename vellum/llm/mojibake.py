@@ -22,9 +22,11 @@ from vellum.operators.skew import spread_join
 from vellum.session import cut_lineage
 
 #: Encodings in which UTF-8 bytes were read by mistake. Bytes that an encoding leaves undefined stay as control characters.
-WRONG_READERS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp850", "cp437", "cp1254", "cp1250")
+WRONG_READERS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp850", "cp437", "cp1254", "cp1250", "cp866", "koi8_r", "iso8859_15", "iso8859_2")
 #: Encodings in which a text was written, when it was then read as Latin-1 or Windows-1252.
-LEGACY_WRITERS = ("gbk", "shift_jis", "euc_jp", "euc_kr", "cp1251", "cp1256", "koi8_r", "cp1253")
+LEGACY_WRITERS = ("gbk", "shift_jis", "euc_jp", "euc_kr", "cp1251", "cp1256", "koi8_r", "cp1253", "big5", "cp874")
+#: Encodings in which Latin text of Windows-1252 was read, which leaves letters that can't stand where they do.
+LATIN_READERS = ("cp1251", "mac_roman", "cp850")
 
 # The characters expected in correct text, as code point ranges.
 EXPECTED_RANGES = (
@@ -32,7 +34,7 @@ EXPECTED_RANGES = (
     (0x0404, 0x0407), (0x0454, 0x0457), (0x0490, 0x0491), (0x060C, 0x060C), (0x061B, 0x061B), (0x061F, 0x061F),
     (0x0621, 0x064A), (0x0E01, 0x0E5B), (0x1EA0, 0x1EF9), (0x2010, 0x2026), (0x2030, 0x2030), (0x2039, 0x203A),
     (0x20AC, 0x20AC), (0x2116, 0x2116), (0x2122, 0x2122), (0x3000, 0x3011), (0x3041, 0x30FC), (0x4E00, 0x9FA5),
-    (0xAC00, 0xD7A3), (0xFF01, 0xFF5E),
+    (0xAC00, 0xD7A3), (0xFF01, 0xFF5E), (0x0531, 0x0587), (0x05B0, 0x05EA), (0x0900, 0x0DFF), (0x10A0, 0x10FF), (0x1F300, 0x1FAFF), (0x20000, 0x2A6DF),
 )
 
 
@@ -86,25 +88,51 @@ def _automaton():  # noqa: ANN202
 _WEAK_LEADS = set("РСВ—–„‚“”’‘…»«ÐðÑÎÏ─╬╧ß▀ÉÈÊËÌÍÓÒÔÕÖØÙÇÆ")
 
 
+#: Readers whose garbled forms may consist of nothing but Cyrillic letters; such a stretch is taken for words unless small letters stand before capitals.
+_CYRILLIC_READERS = ("cp866", "koi8_r")
+_CYRILLIC_ONLY, _ODD_CASE = re.compile(r"[А-яЁё]+"), re.compile(r"[а-яё][А-ЯЁ]")
+
+
+def _form_at(text: str, at: int, reader: str) -> tuple[int, str] | None:
+    """Width and character of the garbled form that starts at ``at``, if there is one for this reader."""
+    back = _reverse_table(reader)
+    lead = back.get(text[at], 0)
+    width = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
+    piece = text[at : at + width]
+    if not width or len(piece) < width:
+        return None
+    try:
+        ch = bytes(back[c] for c in piece).decode()
+    except (KeyError, UnicodeDecodeError, ValueError):
+        return None
+    return (width, ch) if _expected(ch) else None
+
+
 def _utf8_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, reader, character) of every garbled form, leftmost first, without overlaps."""
+    """(start, end, reader, character) of every garbled form, leftmost first, without overlaps.
+
+    Of the readers that explain a form, the one that explains the longest stretch from there on takes all of it.
+    """
     hits: list[tuple[int, int, str, str]] = []
     free = 0
     for last, readers in _automaton().iter(text):
         start = last - 1
         if start < free:
             continue
-        for reader, width in readers:
-            piece = text[start : start + width]
-            back = _reverse_table(reader)
-            try:
-                ch = bytes(back[c] for c in piece).decode()
-            except (KeyError, UnicodeDecodeError, ValueError):
-                continue
-            if len(ch) == 1 and len(piece) == width and _expected(ch):
-                hits.append((start, start + width, reader, ch))
-                free = start + width
-                break
+        best: list[tuple[int, int, str, str]] = []
+        for reader in dict.fromkeys(r for r, _ in readers):
+            chain, at = [], start
+            while at < len(text) and (form := _form_at(text, at, reader)):
+                chain.append((at, at + form[0], reader, form[1]))
+                at += form[0]
+            if reader in _CYRILLIC_READERS and chain and all(_CYRILLIC_ONLY.fullmatch(text, *x[:2]) for x in chain):
+                if not any(x[1] - x[0] == 4 for x in chain) and len(_ODD_CASE.findall(text, start, at)) < 2:
+                    continue
+            if chain and (not best or at > best[-1][1]):
+                best = chain
+        if best:
+            hits += best
+            free = best[-1][1]
     return hits
 
 
@@ -135,7 +163,7 @@ def _solid(m: re.Match[str]) -> bool:
 
 def _script(ch: str) -> str:
     o = ord(ch)
-    for name, ranges in (("han", ((0x4E00, 0x9FA5),)), ("kana", ((0x3041, 0x30FC),)), ("hangul", ((0xAC00, 0xD7A3),)), ("cyrillic", ((0x410, 0x44F), (0x401, 0x401), (0x451, 0x451))), ("arabic", ((0x621, 0x64A),)), ("greek", ((0x386, 0x3CE),))):
+    for name, ranges in (("han", ((0x4E00, 0x9FA5),)), ("kana", ((0x3041, 0x30FC),)), ("hangul", ((0xAC00, 0xD7A3),)), ("cyrillic", ((0x410, 0x44F), (0x401, 0x401), (0x451, 0x451))), ("arabic", ((0x621, 0x64A),)), ("greek", ((0x386, 0x3CE),)), ("thai", ((0xE01, 0xE5B),))):
         if any(a <= o <= b for a, b in ranges):
             return name
     return "ascii" if o < 128 else "other"
@@ -150,6 +178,16 @@ def _common_han(ch: str) -> bool:
     return len(raw) == 2 and 0xB0 <= raw[0] <= 0xD7
 
 
+def _common_traditional(ch: str) -> bool:
+    """In the first level of Big5, the characters in everyday use."""
+    try:
+        raw = ch.encode("big5")
+    except UnicodeEncodeError:
+        return False
+    return len(raw) == 2 and 0xA4 <= raw[0] <= 0xC6
+
+
+@lru_cache(20_000)
 def _legacy(run: str) -> str | None:
     """The run as text of a legacy encoding, if it is ordinary text of one script in it."""
     table = _western_bytes()
@@ -165,16 +203,16 @@ def _legacy(run: str) -> str | None:
             continue
         scripts = [_script(c) for c in out if not c.isspace()]
         n = len(scripts)
-        wide = writer in ("gbk", "shift_jis", "euc_jp", "euc_kr")
+        wide = writer in ("gbk", "shift_jis", "euc_jp", "euc_kr", "big5")
         if wide:
             hangul, kana, han = (scripts.count(x) for x in ("hangul", "kana", "han"))
-            common = sum(1 for c in out if _common_han(c))
+            common = sum(1 for c in out if (_common_traditional if writer == "big5" else _common_han)(c))
             good = max(hangul if writer == "euc_kr" else 0, kana + (common if writer != "euc_kr" else 0))
             if good < 2 or good < 0.75 * n or (writer == "euc_kr" and han):
                 continue
-            score = good / n + 0.1 * (writer == "gbk") + 0.05 * (kana > 0 and writer != "gbk")
+            score = good / n + 0.1 * (writer == "gbk") - 0.05 * (writer == "big5") + 0.05 * (kana > 0 and writer != "gbk")
         else:
-            letters = max(scripts.count(x) for x in ("cyrillic", "arabic", "greek"))
+            letters = max(scripts.count(x) for x in ("cyrillic", "arabic", "greek", "thai"))
             words = [w for w in re.split(r"[\s\x00-\x40\[-`{-~]+", run) if w]
             if letters < 3 or letters < n - scripts.count("ascii") or not any(len(w) >= 3 for w in words):
                 continue
@@ -229,6 +267,36 @@ def _other_cyrillic(run: str) -> str | None:
     return out
 
 
+# Letters of Cyrillic that look like no Latin one, letters of Latin that look like no Cyrillic one.
+_ONLY_CYRILLIC = "бвгджзийлмнптфцчшщъыьэюяБГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯђѓєљњќћўџґЂЃЄЉЊЌЋЎЏҐ"
+_ONLY_LATIN = "dfgjlnqrstuvwzDFGLNQRSUVWZ"
+#: Letters in Latin words that can't stand there: one of Cyrillic, or a capital with an accent between small letters.
+_STRAY = re.compile(rf"(?<![^\W\d_])[A-Za-z]*[{_ONLY_CYRILLIC}][A-Za-z{_ONLY_CYRILLIC}]*(?![^\W\d_])|(?<![^\W\d_])[A-Za-zÀ-ÿ]*[a-z][À-ÞŒŸ][a-zÀ-ÿ]*(?![^\W\d_])")
+# Accented letters of Western Europe, the more frequent first.
+_BY_USE = "éèáóíñüöäçàêãõâôîúûùëïßåøæ"
+
+
+def _latin_word(word: str) -> str | None:
+    """A Latin word whose accented letters were read in another encoding, if every stray letter goes back to a common one."""
+    strays = [c for i, c in enumerate(word) if c in _ONLY_CYRILLIC or ("À" <= c <= "Þ" or c in "ŒŸ") and i and word[i - 1].islower()]
+    if sum(c in _ONLY_LATIN for c in word) < 2 or 3 * len(strays) > len(word):
+        return None
+    best, out = len(_BY_USE) * len(word), None
+    for reader in LATIN_READERS:
+        if (reader == "cp1251") != any(c in _ONLY_CYRILLIC for c in strays):
+            continue
+        try:
+            back = {c: c.encode(reader).decode("cp1252") for c in strays}
+        except UnicodeError:
+            continue
+        if any(c not in _BY_USE for c in back.values()):
+            continue
+        cost = sum(_BY_USE.index(back[c]) for c in strays)
+        if cost < best:
+            best, out = cost, "".join(back.get(c, c) for c in word)
+    return out
+
+
 # A question mark where a letter was lost. Addresses, whose query starts with one, are cut out beforehand.
 _ADDRESS = re.compile(r"\S*(?:://|www\.|\?\w+=|\.\w+\?)\S*")
 _LOST_LETTER = re.compile(r"(?:(?<=[^\W\d_])\?+(?=[^\W\d_A-Z])|(?<=[A-Z])\?+(?=[A-Z])|(?:^|(?<=[\s('\"’\[-]))\?+(?=[^\W\d_]))")
@@ -244,7 +312,7 @@ def _lost(text: str, short: bool) -> bool:
     if _LOST_LETTER.search(bare):
         return True
     if short:
-        return bool(_ONLY_MARKS.match(text) or re.search(r"\w\s+\?\s+\w|\w\?\?", bare))
+        return bool(_ONLY_MARKS.match(text) or re.search(r"\w\s+\?\s+\w|\w\?\?|[^\W\d_]{3}\?$", bare))
     return bool(re.search(r"(?m)^[\s()/.,-]*\?{2,}[\s?()/.,-]*$", bare))
 
 
@@ -258,7 +326,9 @@ def restore(text: str | None, short: bool = False) -> tuple[bool, str | None, bo
         return False, text, False
     lost = _lost(text, short)
     now = text
-    for _ in range(3):  # text may have been misread more than once
+    seen = set()
+    while now not in seen:  # text may have been misread more than once
+        seen.add(now)
         before = now
         hits = _trusted(now, _utf8_spans(now))
         covered = {i for h in hits for i in range(h[0], h[1])}
@@ -279,6 +349,7 @@ def restore(text: str | None, short: bool = False) -> tuple[bool, str | None, bo
         now = _CYRILLIC_WORDS.sub(lambda m: _other_cyrillic(m.group()) or m.group(), now)
         now = _RUN.sub(lambda m: (_solid(m) and _legacy(m.group())) or m.group(), now)
         now = _LETTERS3.sub(lambda m: _legacy(m.group()) or m.group(), now)
+        now = _STRAY.sub(lambda m: _latin_word(m.group()) or m.group(), now)
         if now == before:
             break
     control = re.search(r"[\u0080-\u0084\u0086-\u009f]", text) is not None
@@ -311,11 +382,16 @@ def _form_pattern() -> str:
             leads.setdefault((width, _char_class(second)), set()).add(lead)
         any_last = _char_class({table[x] for x in range(0x80, 0xC0)})
         forms = [_char_class(first) + second + any_last * (width - 2) for (width, second), first in leads.items()]
+        if reader in _CYRILLIC_READERS:  # a chain of forms has one with another character somewhere
+            letters, trail = _char_class({c for c in table if _CYRILLIC_ONLY.fullmatch(c)}), _char_class({table[x] for x in range(0x80, 0xC0) if not _CYRILLIC_ONLY.fullmatch(table[x])})
+            cyrillic.append(rf"{letters}{trail}|{letters}{letters}{trail}|[а-яёЁ][А-ЯЁ]")
+            leads = {k: {c for c in v if not _CYRILLIC_ONLY.fullmatch(c)} for k, v in leads.items()}
+            forms = [_char_class(first) + second + any_last * (width - 2) for (width, second), first in leads.items() if first]
         if reader == "cp1251":
             cyrillic += forms
         else:
             others += forms
-            starts |= set().union(*leads.values())
+            starts |= set().union(*leads.values(), set())
     return rf"(?=[Ѐ-ӿ])(?:{'|'.join(cyrillic)})|(?={_char_class(starts)})(?:{'|'.join(others)})"
 
 
@@ -324,7 +400,8 @@ _SOLID_1252 = r"[\u0080-\u009f¡-ª¬-º¼-ÿ]"
 _THIN_1252 = r"[\u00a0«»ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
 
 #: A necessary condition for ``restore`` to find anything, evaluated in the JVM: one alternative for each way it can find something.
-SUSPICIOUS = "|".join(
+#: All but the lost letters start at a character outside ASCII, so the others are passed over with one look.
+_FOREIGN = "|".join(
     (
         r"�|[\u0080-\u009f]",
         _form_pattern(),
@@ -333,10 +410,15 @@ SUSPICIOUS = "|".join(
         _HAN_RUN.pattern.replace("{3,}", "{3}"),
         # Cyrillic words of four characters or more in all
         r"[А-яЁё]{4}|[А-яЁё]{2}[А-яЁё]?[. ]+[А-яЁё]{2}",
-        # lost letters
-        r"\?[\p{L}\p{Nl}\p{No}?]|[\s\x1c-\x1f]\?[\s\x1c-\x1f]|\A[\s\x1c-\x1f()/.,-]*\?",
+        # letters that can't stand in a Latin word
+        r"[Ѐ-ԯ](?:(?<=[A-Za-z].)|(?=[A-Za-z]))|[À-ÞŒŸ](?<=[a-z].)",
     )
 )
+SUSPICIOUS = rf"(?=[^\x00-\x7f])(?:{_FOREIGN})|[^\W\d_]\?\Z|\?(?:[\p{{L}}\p{{Nl}}\p{{No}}?]|(?<=[\s\x1c-\x1f]\?)[\s\x1c-\x1f])|\A[\s\x1c-\x1f()/.,-]*\?"
+
+
+#: Values of plain ASCII without a question mark are never garbled.
+_MAYBE = r"_text rlike '[^\\x00-\\x3e\\x40-\\x7f]'"
 
 
 def suspicious(value: Column) -> Column:
@@ -360,15 +442,16 @@ def restored(value: Column, short: bool = False) -> Column:
 
 def garbled_distinct(rows: DataFrame, text_col: str, short: bool = False) -> DataFrame:
     """``_text, n_rows, _r`` for each distinct garbled text."""
-    seen = rows.select(F.col(text_col).alias("_text")).where("_text != ''").groupBy("_text").agg(F.count("*").alias("n_rows")).where(suspicious(F.col("_text")))
+    distinct = cut_lineage(rows.select(F.col(text_col).alias("_text")).where(_MAYBE).groupBy("_text").agg(F.count("*").alias("n_rows")))
+    seen = distinct.where(suspicious(F.col("_text")))  # once a value: below the grouping it would be once a row
     return seen.withColumn("_r", restored(F.col("_text"), short)).where("_r.garbled")
 
 
 def garbled_values(rows: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """``row_id, restored, lost`` of the rows whose text is garbled. Null and empty texts are not; ids may repeat."""
-    seen = rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text")).where(suspicious(F.col("_text")))
+    seen = rows.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text")).where(_MAYBE)
     if short:  # titles repeat a lot: each distinct value is looked at once
         seen = spread_join(seen, cut_lineage(garbled_distinct(seen, "_text", True)), ["_text"], "row_id", count="n_rows")
     else:
-        seen = seen.withColumn("_r", restored(F.col("_text"))).where("_r.garbled")
+        seen = seen.where(suspicious(F.col("_text"))).withColumn("_r", restored(F.col("_text"))).where("_r.garbled")
     return seen.select("row_id", F.col("_r.restored").alias("restored"), F.col("_r.lost").alias("lost"))
