@@ -127,6 +127,9 @@ def test_contained(spark):
     parts = got[got.doc_id == 900].sort_values("part_no")
     assert len(parts) > 1 and list(parts.start_token) == [64 * i for i in range(len(parts))] and (got[got.doc_id != 900].groupby("doc_id").size().drop(5) == 1).all()
     assert contained(spark.createDataFrame(docs[:0], "doc_id int, text string")).count() == 0
+    plain = contained(spark.createDataFrame(docs, "doc_id int, text string"), capacity=64, buckets=8, mixed=False).toPandas()
+    assert len(plain) == len(got) and plain.groupby("container_id")["n_tokens"].sum().max() <= 64 and plain.container_id.nunique() >= got.container_id.nunique()
+    assert len(plain.groupby(["container_id", "slot"])) == len(plain)
 
 
 def test_leaks(spark):

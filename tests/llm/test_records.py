@@ -41,10 +41,21 @@ def test_format_duplicates_against_brute_force(spark):
 
 def test_hot_group_of_copies(spark):
     df = spark.range(1, 5001).select(F.col("id").alias("record_id"), F.lit("https://a.example/x?b=1&a=2").alias("profile_url"), F.lit(None).cast("string").alias("email"))
-    got = format_duplicates(df)
+    got = format_duplicates(df, hot_rows=700)  # spread over eight tasks
     assert got.count() == 4999 and got.select("keep_id").distinct().count() == 1
 
 
+def test_records_under_one_fingerprint_stay_apart(spark, monkeypatch):
+    from vellum.llm import format_duplicates as module
+
+    one = F.struct(*(F.lit(0).cast("bigint").alias(h) for h in module.FINGERPRINT))
+    monkeypatch.setattr(module, "multiset_fingerprint", lambda pairs: one)
+    rows = [(i, f"https://a.example/{i % 3}", None) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "record_id long, profile_url string, email string")
+    got = {tuple(r) for r in module.format_duplicates(df, hot_rows=4).collect()}
+    assert got == {(next(k for k in (1, 2, 3) if k % 3 == i % 3), i) for i in range(4, 31)}
+
+
 def test_symmetric_deletes_find_every_near_string():
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(3, 7))) for _ in range(120)]

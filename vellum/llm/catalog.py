@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.canonical_titles import entries_of_values
-from vellum.llm.containers import contained
+from vellum.llm.containers import CAPACITY, contained
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.leakage import leaked_items
 from vellum.llm.lookalikes import stored_differently
@@ -118,6 +118,18 @@ def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return contained(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p8_bucket_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with batches that each take texts of one length bucket only."""
+    return contained(table(spark, folder, "documents").select("doc_id", "text"), mixed=False)
+
+
+def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, tokens in them and the share of room used, by both ways of forming batches."""
+    found = [p8_assignment(spark, folder).withColumn("batches", F.lit("mixed")), p8_bucket_batches(spark, folder).withColumn("batches", F.lit("one bucket"))]
+    sums = found[0].unionByName(found[1]).groupBy("batches").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.withColumn("filled", F.round(F.col("n_tokens") / (F.col("n_containers") * CAPACITY), 4))
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     """How far each container is filled."""
     return p8_assignment(spark, folder).groupBy("container_id").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"))

@@ -1,11 +1,12 @@
 """Filling containers of a fixed number of tokens with texts, leaving little room and cutting only what can't fit.
 
 Lengths are bucketed: dynamic programming over the global length histogram, which has at most as many entries as the
-capacity, chooses the boundaries that minimise padding. Batches within a token budget are then laid out over buckets, still
-on the histogram: a container takes the longest bucket left and fills up with the longest that fit, and every such pattern
-is repeated as often as its buckets allow. A text finds its container from its rank in its bucket alone, so no group of
-texts ever has to stand in one task, whatever the size of the corpus. Batches from one bucket only, as in the plain method,
-would leave almost half of a container empty for every text longer than half of it; the patterns mix buckets for that reason.
+capacity, chooses the boundaries that minimise padding. Batches within a token budget are then formed, still on the histogram, in one
+of two ways. ``bucket_layout`` forms them inside each bucket, as many texts a batch as the bucket's bound allows; a text
+longer than half a container then has one to itself. ``layout`` mixes buckets: a container takes the longest bucket left and
+fills up with the longest that fit, and every such pattern is repeated as often as its buckets allow. Either way a text finds
+its container from its rank in its bucket alone, so no group of texts ever has to stand in one task, whatever the size of the
+corpus. The tokenizer's files are read on every executor from the folder given, which has to exist there.
 """
 
 from __future__ import annotations
@@ -120,12 +121,23 @@ def layout(bounds: list[int], counts: list[int], capacity: int) -> tuple[list[li
     return segments, container
 
 
-def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, buckets: int = BUCKETS, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def bucket_layout(bounds: list[int], counts: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int, int]]], int]:
+    """The same for batches inside each bucket: one segment a bucket, with as many texts a container as its bound allows."""
+    segments, container = [], 0
+    for bound, n in zip(bounds, counts, strict=True):
+        each = capacity // bound
+        segments.append([(0, each, container, 0)])
+        container += -(-n // each)
+    return segments, container
+
+
+def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, buckets: int = BUCKETS, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, mixed: bool = True) -> DataFrame:
     """``doc_id, part_no, start_token, n_tokens, container_id, slot`` for every non-blank text.
 
     A text longer than a container is cut into full containers and one rest; no other text is cut. Null and blank texts
     have no place. Repeated texts and ids each get their own place; an empty table gives no rows. The token counts are
-    written to the checkpoint folder once and read for the histogram and for the ranks.
+    written to the checkpoint folder once and read for the histogram and for the ranks. ``mixed`` batches take texts of
+    several buckets, the others of one.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"(?U)\S"))
     sizes = rows.select("doc_id", token_count(F.col("_text"), folder, vocabulary).alias("_n")).where("_n > 0")
@@ -139,7 +151,7 @@ def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds = bucket_boundaries(counts, buckets)
     starts = [0, *bounds]
     in_bucket = [int(counts[a + 1 : b + 1].sum()) for a, b in zip(starts, bounds, strict=False)]
-    segments, n_mixed = layout(bounds, in_bucket, capacity)
+    segments, n_mixed = (layout if mixed else bucket_layout)(bounds, in_bucket, capacity)
 
     # ranks of the rests within their bucket: blocks of hashed ids, each with an offset
     bounds_at = np.array(bounds)
@@ -185,8 +197,11 @@ def contained(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fulls = sizes.where(F.col("_n") >= capacity).select("doc_id", "_n", F.explode(F.sequence(F.lit(0), whole - 1)).alias("part_no"))
     full_blocks = max(1, int(np.ceil(full / ROWS_A_BLOCK)))
     fulls = fulls.withColumn("_k", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(full_blocks)).cast("int"))
-    before = fulls.groupBy("_k").agg(F.count("*").alias("_c")).withColumn("_one", F.lit(0))
-    before = before.withColumn("_offset", F.coalesce(F.sum("_c").over(Window.partitionBy("_one").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row for each ROWS_A_BLOCK full containers; offsets within thousands of blocks, and the thousands' own before them
+    before = cut_lineage(fulls.groupBy("_k").agg(F.count("*").alias("_c")).withColumn("_m", F.floor(F.col("_k") / 1000)))
+    earlier = lambda by, order: F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    thousands = before.groupBy("_m").agg(F.sum("_c").alias("_c")).withColumn("_one", F.lit(0)).withColumn("_offset_m", earlier("_one", "_m"))
+    before = before.withColumn("_offset", earlier("_m", "_k")).join(thousands.select("_m", "_offset_m"), "_m").select("_k", (F.col("_offset") + F.col("_offset_m")).alias("_offset"))
     fulls = fulls.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "part_no", "_n")) - 1).join(before.select("_k", "_offset"), "_k")
     fulls = fulls.select(
         "doc_id",

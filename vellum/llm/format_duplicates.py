@@ -3,7 +3,7 @@
 A record is a set of (field name, value) pairs after normalisation. Every pair is hashed, and the hashes are combined by
 addition, which does not depend on order, so neither fields nor query parameters need sorting. Records are grouped by that
 fingerprint (128 bits in four sums) and the fields are then compared with those of the group's first record, again as
-multisets. A hot group is spread over salts: the representatives are few and are repeated per salt.
+multisets. Only a group with more rows than one task should have is spread, over as many tasks as its number asks for.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of the join that brings the group's first record to every row; a group holding a third of all rows is spread over them.
-SALTS = 16
+from vellum.operators.skew import HOT_ROWS
+from vellum.session import cut_lineage
 
 # Characters that may stand around or after an address without being part of it.
 _AROUND = r"""[.,;:!?'"`()<>\[\]{}|/\\#&\u00b4\u00ab\u00bb\u2018-\u201f\u2026\u3001\u3002\uff0c\uff1b\uff1a\uff01\uff1f\uff08\uff09]"""
@@ -49,6 +49,9 @@ def multiset_fingerprint(pairs: Column) -> Column:
     return F.struct(*(_sum_of_hashes(pairs, seed, high).alias(f"h{seed}{int(high)}") for seed in (7, 11) for high in (False, True)))
 
 
+FINGERPRINT = ["h70", "h71", "h110", "h111"]
+
+
 def _same_multiset(a: Column, b: Column) -> Column:
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     return (F.size(a) == F.size(b)) & F.forall(a, lambda x: times(a, x) == times(b, x))
@@ -64,30 +67,35 @@ def normalized_records(rows: DataFrame, id_col: str = "record_id", url_col: str
         F.array(pair("base", F.col("_base")), pair("mail", F.col("_mail"))),
         F.transform("_fields", lambda x: pair("field", x)),
     )
-    return out.withColumn("_fp", multiset_fingerprint(pairs))
+    return out.withColumn("_fp", multiset_fingerprint(pairs)).select("_id", "_base", "_mail", "_fields", *(F.col(f"_fp.{h}").alias(h) for h in FINGERPRINT))
 
 
-def format_duplicates(rows: DataFrame, id_col: str = "record_id", url_col: str = "profile_url", email_col: str = "email") -> DataFrame:
-    """``keep_id, record_id, n_copies``: every record that repeats another, with the first of its set and the set's size.
+def format_duplicates(rows: DataFrame, id_col: str = "record_id", url_col: str = "profile_url", email_col: str = "email", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``keep_id, record_id``: every record that repeats another, with the first of its set.
 
     Null equals empty; a row with neither address nor e-mail, or without an id, is nobody's copy. A row repeated under
-    the same id is one record. If two different records ever shared a fingerprint, the comparison keeps them apart.
-    Other columns, whatever their names, play no part; an empty table gives no rows.
+    the same id is one record. If different records ever shared a fingerprint, each kind of them is a set of its own: the
+    rows that differ from the group's first are compared among themselves. Other columns, whatever their names, play no
+    part; an empty table gives no rows.
     """
-    normal = normalized_records(rows, id_col, url_col, email_col)
-    body = F.struct("_id", "_base", "_mail", "_fields")
-    firsts = (
-        normal.groupBy("_fp")
-        .agg(F.min(body).alias("_first"), F.count("*").alias("n_copies"))
-        .where("n_copies > 1")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    salted = normal.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["_fp", "_salt"])
-    same = (
-        (F.col("_base") == F.col("_first._base"))
-        & (F.col("_mail") == F.col("_first._mail"))
-        & _same_multiset(F.col("_fields"), F.col("_first._fields"))
-        & (F.col("_id") != F.col("_first._id"))
-    )
-    return joined.where(same).select(F.col("_first._id").alias("keep_id"), F.col("_id").alias("record_id"), "n_copies").distinct()
+    normal = cut_lineage(normalized_records(rows, id_col, url_col, email_col))
+    groups = normal.groupBy(*FINGERPRINT).agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    groups = cut_lineage(groups.withColumn("_salts", F.ceil(F.col("_n") / hot_rows).cast("int")))
+    hot = F.broadcast(groups.where("_salts > 1").select(*FINGERPRINT, "_salts"))  # at most one row for each ``hot_rows`` records
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = normal.join(hot, FINGERPRINT, "left").withColumn("_salt", F.when(salts > 1, F.pmod(F.xxhash64("_id"), salts)).otherwise(0).cast("int")).drop("_salts")
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(*FINGERPRINT, "_first", "_salts", "_salt")
+    joined = salted.join(spread.hint("merge"), [*FINGERPRINT, "_salt"])
+    # the first record of each group goes to every task of the group; the copies stay where the join above has put them
+    firsts = joined.where("_id = _first").select(*FINGERPRINT, "_salts", F.col("_base").alias("_base1"), F.col("_mail").alias("_mail1"), F.col("_fields").alias("_fields1")).distinct()
+    firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    compared = joined.where("_id != _first").join(firsts.hint("merge"), [*FINGERPRINT, "_salt"])
+    same = (F.col("_base") == F.col("_base1")) & (F.col("_mail") == F.col("_mail1")) & _same_multiset(F.col("_fields"), F.col("_fields1"))
+    compared = compared.select("_first", "_id", "_base", "_mail", "_fields", *FINGERPRINT, same.alias("_same"))
+    copies = compared.where("_same").select(F.col("_first").alias("keep_id"), F.col("_id").alias("record_id"))
+    # two kinds of records under one fingerprint: hardly ever a row
+    kind = [*FINGERPRINT, "_base", "_mail", "_key"]
+    others = compared.where(~F.col("_same")).withColumn("_key", F.array_sort("_fields"))
+    least = others.groupBy(*kind).agg(F.min("_id").alias("keep_id"))
+    more = others.join(least, kind).where("_id != keep_id").select("keep_id", F.col("_id").alias("record_id"))
+    return copies.unionByName(more).distinct()
