@@ -40,3 +40,18 @@ def test_odd_input(spark):
     assert main_lines(rows.limit(0)).count() == 0
     long = "<body><h1>x</h1>" + "".join(f"<p>word {i}</p>" for i in range(3000)) + "</body>"
     assert len(body_lines(long, "\n".join(["x", *(f"word {i}" for i in range(3000))]))) == 3001
+
+
+PROSE = "".join(f"<p>Sentence {i} of the article says something about engines, looms and the people who built them.</p>" for i in range(30))
+
+
+def test_heading_elsewhere_only_joins_the_densest_body():
+    html = f"<body><div><a href='/1'>Home</a> <a href='/2'>News</a></div><div><h1>Big Site Name</h1></div><div><div><h2>Dr Ada</h2>{PROSE}</div></div><div>Imprint</div></body>"
+    text = ["Home News", "Big Site Name", "Dr Ada", *(f"Sentence {i} of the article says something about engines, looms and the people who built them." for i in range(30)), "Imprint"]
+    assert body_lines(html, "\n".join(text)) == list(range(2, 34))
+
+
+def test_heading_right_below_body_takes_neither_notice_nor_teaser():
+    html = f"<body><div>We use cookies on this site.</div><h1>Dr Ada</h1>{PROSE}<div class='teaser'><h3>Next event</h3><p>Come and see.</p></div></body>"
+    text = ["We use cookies on this site.", "Dr Ada", *(f"Sentence {i} of the article says something about engines, looms and the people who built them." for i in range(30)), "Next event", "Come and see."]
+    assert body_lines(html, "\n".join(text)) == list(range(2, 33))

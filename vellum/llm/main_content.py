@@ -1,9 +1,9 @@
 """The main body of web pages, by composite text density.
 
 For every DOM node the characters per tag are computed, adjusted for the characters and tags inside links; a node's sum is
-that of its children's densities. The subtree with the greatest sum is the core of the body; from there the path towards
-``<body>`` is climbed as long as the density stays above that of the page as a whole, which takes in what is short but
-belongs to the body. Blocks of links inside are cut away again, and labels for sharing, printing and the like go by their
+that of its children's densities. The subtree with the greatest sum is the core of the body; on the path from there towards
+``<body>``, the highest element that is at least as dense as the core takes its place. The page's top heading then joins: the
+smallest element below ``<body>`` that has both, or the heading alone where there is none. Blocks of links inside are cut away again, and labels for sharing, printing and the like go by their
 wording. A page whose whole body is an error message, a notice or filler has no body.
 
 The tree exists only inside an Arrow batch in Python; pages never meet each other, so nothing is shuffled.
@@ -203,53 +203,59 @@ def _link_block(node: Node) -> bool:
     return node.tag not in _INLINE and node.tag not in ("h1", "p", "li", "td", "dd") and node.link_chars > 0.5 * node.chars
 
 
-def select_body(root: Node, order: list[Node], blocks: list[tuple[str, Node]]) -> Node:
-    """The element that holds the page's body."""
+#: The branch with the top heading has the core if its greatest sum is at least this share of the page's greatest; it may be short.
+HEADING_SHARE = 0.1
+# Tags that hold text themselves, for pages whose text stands right below <body>.
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl table tbody tr pre blockquote figure address dd dt li td th".split())
+
+
+def _branch(node: Node, root: Node) -> Node:
+    """The child of the root that ``node`` is in."""
+    while node.parent is not root and node.parent is not None:
+        node = node.parent
+    return node
+
+
+def select_body(root: Node, order: list[Node], blocks: list[tuple[str, Node]]) -> list[Node]:
+    """The elements that hold the page's body, in page order."""
     heads = [n for n in order if n.tag == "h1" and not _frame(n)]
     candidates = [n for n in order if n is not root and n.tag not in _INLINE and not _frame(n)]
-    if heads:
-        head = heads[0]
-        if head.parent is root:  # nothing holds the body together but the page
-            return root
-        shares: dict[int, Node] = {}
-        up: Node | None = head
-        while up is not None:
-            shares[id(up)] = up
-            up = up.parent
-        inside = []
-        for n in candidates:  # the core shares a parent below <body> with the heading
-            up = n
-            while id(up) not in shares:
-                up = up.parent
-            if up is not root:
-                inside.append(n)
-        candidates = inside or candidates
-    elif residue := [b for b in blocks if is_residue(b[0]) and not _frame(b[1])]:
+    if not heads and (residue := [b for b in blocks if is_residue(b[0]) and not _frame(b[1])]):
         candidates = [n for n in candidates if n.first <= blocks.index(residue[0]) < n.last] or candidates
     if not candidates:
-        return root
+        return [root]
     core = max(candidates, key=lambda n: n.total)
-    if heads:  # the smallest element that has both the heading and the core
-        at, body = heads[0].first, core
-        while body.parent is not None and not body.first <= at < body.last:
-            body = body.parent
-        return body
+    head = heads[0] if heads else None
+    if head is not None and head.parent is not root:
+        beside = [n for n in candidates if _branch(n, root) is _branch(head, root)]
+        if beside and max(n.total for n in beside) >= HEADING_SHARE * core.total:
+            core = max(beside, key=lambda n: n.total)
     body, up = core, core.parent
-    while up is not None and up is not root:
-        if up.density >= root.density:
+    while up is not None and up is not root:  # the path's threshold
+        if up.density >= (core.density if head is not None else root.density):
             body = up
         up = up.parent
-    return body
+    if head is None or body.first <= head.first < body.last:
+        return [body]
+    up = body
+    while up is not root and not up.first <= head.first < up.last:
+        up = up.parent
+    if up is not root:
+        return [up]
+    if _branch(body, root).tag in _TEXT_TAGS:  # the text stands right below <body>: what follows the heading there
+        return [n for n in root.children if n.first >= head.first and n.tag in _TEXT_TAGS]
+    return sorted([body, head], key=lambda n: n.first)
 
 
 def body_blocks(html: str) -> tuple[list[str], list[bool]]:
     """All blocks of the page, and which of them belong to its body."""
     root, blocks = parse(html)
     order = densities(root)
-    body = select_body(root, order, blocks)
     keep = [False] * len(blocks)
-    keep[body.first : body.last] = [True] * (body.last - body.first)
-    stack = list(body.children)
+    stack = []
+    for body in select_body(root, order, blocks):
+        keep[body.first : body.last] = [True] * (body.last - body.first)
+        stack += body.children
     while stack:
         n = stack.pop()
         if n.tag in _FRAME_TAGS or _link_block(n):
