@@ -88,11 +88,21 @@ def test_entries_of_values(spark):
     }
     values = spark.createDataFrame([(v,) for v in [*want, "", "  ", None, "MCF"]], "value string")
     entries = spark.createDataFrame(ENTRIES, "title_id long, title string")
-    got = {r["value"]: r["title_id"] for r in entries_of_values(values, entries).collect()}
+    further = spark.createDataFrame([("Außerplanmäßiger Professor", "apl prof"), ("Maître de conférences", "mcf"), ("Professor of Practice", "practice professor"), ("Доцент", "доц"), ("nobody", "x")], "title string, name string")
+    got = {r["value"]: r["title_id"] for r in entries_of_values(values, entries, further=further).collect()}
     assert got == want
     assert entries_of_values(values.limit(0), entries).count() == 0
 
 
+def test_any_reference_list_and_long_names(spark):
+    long = "International Institute for the Advancement of Comparative Hydrology and Applied Lacustrine Archaeology of Norrhaven"
+    entries = spark.createDataFrame([(1, long), (2, "Saint Petersburg"), (3, "Newhaven")], "title_id long, title string")
+    values = spark.createDataFrame([(long.replace("Lacustrine", "Lacustrin"),), ("Sankt-Peterburg",), ("saint petersbrug",), ("Nwehaven",), ("Oldhaven",)], "value string")
+    further = spark.createDataFrame([("Saint Petersburg", "Sankt Peterburg")], "title string, name string")
+    got = {r["value"]: r["title_id"] for r in entries_of_values(values, entries, further=further).collect()}
+    assert list(got.values()).count(0) == 1 and got["Oldhaven"] == 0 and got["saint petersbrug"] == got["Sankt-Peterburg"] == 2 and got["Nwehaven"] == 3
+
+
 def test_people(spark):
     names = ["Rebecca Hurverberger", "HURVERBERGER Becky", "Hurverberger, R.", "Prof. Dr. Rebeca Hurverbreger", "Petra Hurverberger", "Рита Холданзин", "Rita Kholdanzin", "Samuel van der Mosk", "S. Mosk", "Ｒｅｂｅｃｃａ　Ｈｕｒｖｅｒｂｅｒｇｅｒ", "", None]
     filler = [(9, 1000 + i, f"{g} Other{c}son") for i, (g, c) in enumerate((g, c) for g in ("Rebecca", "Petra", "Rita", "Samuel") for c in "abcdefgh")]

@@ -18,8 +18,8 @@ def test_kinds(spark):
 
 
 def test_empty_table_and_long_text(spark):
-    rows = spark.createDataFrame([("t", "word " * 200_000 + "\nPage not found\n" + "word " * 1000)], "title string, text string")
-    assert residue_kinds(rows).first()["residue"] == ["error"]
+    rows = spark.createDataFrame([("t", "word " * 200_000 + "\n{{ staff.title }}\n" + "word " * 1000)], "title string, text string")
+    assert residue_kinds(rows).first()["residue"] == ["slot"]
     assert residue_kinds(rows.limit(0)).count() == 0
 
 
@@ -64,3 +64,24 @@ def test_slots_in_listings_are_discounted(spark):
     rows = spark.createDataFrame([(i, "A", x) for i, (x, _) in enumerate(LISTING_CASES)], "page_id int, title string, text string")
     got = {r["page_id"]: r["residue"] for r in residue_kinds(rows).collect()}
     assert [got[i] for i in range(len(LISTING_CASES))] == [c[1] for c in LISTING_CASES]
+
+
+PROSE = "\n".join(f"Paragraph {i} of a long article that goes on about the burner, the flask and the scale for quite a while." for i in range(30))
+CONTEXT_CASES = [
+    ("Greetings\nUse {{ first_name }} to greet the reader, and {{ last_name }} after it.", []),
+    ("Exercise\nprint(f\"Hello {name}\")\nRun it.", []),
+    ("Manual\nGET /users/:user_id\nThe answer is a list.", []),
+    ("Manual\n```\n{{ staff.title }}\n```\nThat was it. The tag `{{ staff.mail }}` too.", []),
+    (f"Furnaces\n{PROSE}\nLoading\n{PROSE}", []),
+    (f"Titration\n{PROSE}\nWarning: the scale must read zero on line 12", []),
+    ("Some University\nLoading", ["notice"]),
+    ("Some University\nFatal error: Uncaught exception in /srv/app/x.php on line 12", ["error"]),
+    ("Ada\nHer course was moved. {{ first_name }}", ["slot"]),
+    ("Ada\n{{ first_name }}: a reader in chemistry.", ["slot"]),
+]
+
+
+def test_context_and_density(spark):
+    rows = spark.createDataFrame([(i, "A", x) for i, (x, _) in enumerate(CONTEXT_CASES)], "page_id int, title string, text string")
+    got = {r["page_id"]: r["residue"] for r in residue_kinds(rows).collect()}
+    assert [got[i] for i in range(len(CONTEXT_CASES))] == [c[1] for c in CONTEXT_CASES]

@@ -3,9 +3,10 @@
 Each distinct value is brought to plain words and cut at its separators into heads (what may be the entry's name, with
 abbreviations written out and inverted parts turned round). Heads that stand in the dictionary match at once. The others
 are looked up within a bounded edit distance by symmetric deletes: the strings that arise from a head by dropping up to two
-characters are joined with those of the dictionary, which is broadcast (its size depends on the reference list alone and is
-checked). Candidates are ranked by a weighted Damerau-Levenshtein distance, then by how often an entry is used. A value
-none of whose heads comes near an entry is reported with the entry 0.
+characters are joined with those of the dictionary, which Spark makes from the reference list and which is broadcast if its
+bytes allow it. How long a head may be, in words and letters, follows from the longest name of the list. Candidates are
+ranked by a weighted Damerau-Levenshtein distance, then by how often an entry is used. A value none of whose heads comes near
+an entry is reported with the entry 0. Further names of entries are a table that the caller may give.
 """
 
 from __future__ import annotations
@@ -16,17 +17,15 @@ from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.lookalikes import CYRILLIC_LIKE, GREEK_LIKE
 from vellum.llm.mojibake import restore
+from vellum.operators.skew import BROADCAST_BYTES
 from vellum.session import cut_lineage
 
-#: A dictionary of up to so many rows (deletes of all names) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
 # What short forms stand for, several where languages differ.
 SHORT_FORMS = {
     "prof": "professor|professeure|profesora", "profa": "profesora", "a/prof": "associate professor", "assoc": "associate", "asst": "assistant", "assist": "assistant", "sr": "senior", "snr": "senior", "sen": "senior",
@@ -37,7 +36,7 @@ SHORT_FORMS = {
     "posdoc": "posdoctoral", "postdoctoral": "postdoctoral|posdoctoral", "catedr": "catedratico", "доц": "доцент", "проф": "профессор", "каф": "кафедры", "ст": "старший", "преп": "преподаватель", "вед": "ведущий", "науч": "научный",
     "сотр": "сотрудник", "ogr": "ogretim", "gor": "gorevlisi", "f": "fur", "fuer": "fur", "bes": "besondere", "apl": "ausserplanmassiger", "priv": "privat", "doz": "dozent", "أ": "أستاذ", "استاذ": "أستاذ", "agreg": "agregacao",
 }
-# Other names of entries, by entry.
+# Further names of the entries of the list of academic titles, by entry; a table for ``entries_of_values``.
 OTHER_NAMES = {
     "Professor": "full professor|university professor", "Lecturer": "university lecturer", "Reader": "university reader", "Instructor": "course instructor", "Researcher": "academic researcher", "Dean": "faculty dean|dean of faculty",
     "Professor of Practice": "practice professor", "Emeritus Professor": "professor emeritus|emerita professor|professor emerita", "Department Chair": "chair of department|chair of the department|head of department", "Laboratory Manager": "lab manager",
@@ -54,7 +53,6 @@ _LATIN = {**GREEK_LIKE, **CYRILLIC_LIKE}
 _CYRILLIC = {v: k for k, v in CYRILLIC_LIKE.items() if v.isalpha() and k.isalpha()}
 _CJK = re.compile(r"[぀-ヿ一-鿿가-힣]")
 _INVISIBLE = re.compile(r"[­͏؜​-‏‪-‮⁠-⁤﻿ـ]")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[^\W_]+|\S", re.U)
 
 
 def one_script(text: str) -> str:
@@ -120,23 +118,18 @@ def words_and_breaks(text: str) -> list[str]:
 _SHORT = {fold(k): [fold(x) for x in v.split("|")] for k, v in SHORT_FORMS.items()}
 
 
-def _spelled_out(words: list[str], most: int = 24) -> list[str]:
+def _spelled_out(words: list[str]) -> list[str]:
     choices = []
     for w in words:
         if w == "aprof":
             choices.append(["associate professor"])
         else:
             choices.append([w, *[x for x in _SHORT.get(w, ()) if x != w]])
-    out = []
-    for k, combo in enumerate(product(*choices)):
-        if k >= most:
-            break
-        out.append(" ".join(combo))
-    return out
+    return [" ".join(combo) for combo in product(*choices)]
 
 
-def heads(text: str) -> list[tuple[int, str]]:
-    """(priority, head): what in ``text`` may name an entry; a lower priority goes first."""
+def heads(text: str, most_words: int = 8) -> list[tuple[int, str]]:
+    """(priority, head): what in ``text`` may name an entry of up to ``most_words`` words; a lower priority goes first."""
     parts: list[list[str]] = [[]]
     for w in words_and_breaks(text):
         if w == "|":
@@ -144,13 +137,15 @@ def heads(text: str) -> list[tuple[int, str]]:
                 parts.append([])
         else:
             parts[-1].append(w)
-    parts = [p for p in parts if p][:6]
+    parts = [p for p in parts if p]
     if not parts:
         return []
     bare = [[w for w in p if w not in _SEPARATOR_WORDS] for p in parts]
     found: dict[str, int] = {}
 
     def add(words: list[str], priority: int) -> None:
+        if len(words) > most_words:  # longer than any name
+            return
         glue = "" if words and all(_CJK.search(w) for w in words) else " "
         for h in [glue.join(words)] if glue == "" else _spelled_out(words):
             found.setdefault(h, priority)
@@ -158,7 +153,7 @@ def heads(text: str) -> list[tuple[int, str]]:
     if len(parts) > 1:
         if parts[1][0] not in _SEPARATOR_WORDS:
             add(bare[1] + bare[0], 0)
-        for k in (3, 2):
+        for k in range(min(len(parts), most_words), 1, -1):
             if len(parts) >= k:
                 add([w for p in parts[:k] for w in p], 1)
                 add([w for p in bare[:k] for w in p], 2)
@@ -169,10 +164,14 @@ def heads(text: str) -> list[tuple[int, str]]:
     return [(p, h) for h, p in found.items() if h.strip("~ ")]
 
 
-def names_of(title: str) -> set[str]:
+def own_name(title: str) -> str:
+    return " ".join(w for w in words_and_breaks(title) if w != "|")
+
+
+def names_of(title: str, further: list[str]) -> set[str]:
     """All written-out names of an entry, folded the way heads are."""
     out: set[str] = set()
-    for name in [title, *OTHER_NAMES.get(title, "").split("|")]:
+    for name in [title, *further]:
         if not name:
             continue
         plain = " ".join(w for w in words_and_breaks(name) if w != "|")
@@ -235,25 +234,42 @@ def deletes(text: str, most: int) -> set[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("h", T.StringType())])))
-def _heads(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _heads(value: Column, most_words: int) -> Column:
+    """Array of (priority, head) of a value."""
+
     def all_heads(text: str) -> list[tuple[int, str]]:
         back = restore(text, True)
-        out = heads(back[1])
+        out = heads(back[1], most_words)
         if back[0]:
             out += [(4, "=" + "".join(re.split(r"[;|@,(/]", x)[0].casefold().split()).strip(".")) for x in {text, back[1]}]
         elif re.search(r"[Ѐ-ӿ]", text):
             out.append((4, "=" + "".join(text.casefold().split()).strip(".")))
         return out
 
-    for batch in batches:
-        yield pd.Series([all_heads(x) for x in batch])
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("h", T.StringType())])))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([all_heads(x) for x in batch])
+
+    return run.asNondeterministic()(value)  # evaluated once, where it stands
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _deletes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield pd.Series([list(deletes(x, 0 if x[:1] in ("~", "=") else 2 if 8 <= len(x) <= 60 else 1 if len(x) <= 60 else 0)) for x in batch])
+        yield pd.Series([list(deletes(x, 0 if x[:1] in ("~", "=") else 2 if len(x) >= 8 else 1)) for x in batch])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("own", T.BooleanType())])))
+def _names(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for title, further in batches:
+        yield pd.Series([[(n, n == own_name(t)) for n in sorted(names_of(t, list(f)))] for t, f in zip(title, further, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("d", T.StringType()), T.StructField("most", T.IntegerType())])))
+def _name_deletes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series([[(d, most) for d in deletes(n, most)] if (most := allowed_distance(n)) else [] for n in batch])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -262,38 +278,43 @@ def _cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([weighted_distance(a, b) for a, b in zip(head, name, strict=True)], dtype="float64")
 
 
-def _names(spark, entries: list[tuple[int, str]]) -> DataFrame:  # noqa: ANN001
-    rows = sorted({(name, int(i)) for i, title in entries for name in names_of(title)})
-    taken: dict[str, int] = {}
-    for i, title in entries:  # an entry's own name wins over another entry's further names
-        taken[" ".join(w for w in words_and_breaks(title) if w != "|")] = int(i)
-    rows = [(n, i) for n, i in rows if taken.get(n, i) == i]
-    return spark.createDataFrame(rows, "name string, title_id bigint")
+def dictionary_names(entries: DataFrame, further: DataFrame | None = None) -> DataFrame:
+    """``name, title_id`` for every name of every entry. An entry's own name wins over another entry's further names."""
+    listed = entries.select("title_id", "title").where("title_id is not null and title != ''").distinct()
+    if further is None:
+        named = listed.withColumn("_f", F.array().cast("array<string>"))
+    else:
+        more = further.select("title", F.col("name").alias("_n")).where("_n != ''").groupBy("title").agg(F.collect_set("_n").alias("_f"))
+        named = listed.join(more, "title", "left").withColumn("_f", F.coalesce("_f", F.array().cast("array<string>")))
+    names = cut_lineage(named.select("title_id", F.explode(_names("title", "_f")).alias("_x")).select("title_id", "_x.name", "_x.own"))
+    owned = names.groupBy("name").agg(F.max("own").alias("_owned"))
+    return names.join(owned, "name").where("own = _owned").select("name", "title_id").distinct()
 
 
-def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "value") -> DataFrame:
-    """``value, title_id, cost`` for every distinct non-empty value; ``title_id`` is 0 and ``cost`` null where none matches.
+def entries_of_values(values: DataFrame, entries: DataFrame, value_col: str = "value", further: DataFrame | None = None) -> DataFrame:
+    """``value, title_id, cost, n_rows`` for every distinct non-empty value; ``title_id`` is 0 and ``cost`` null where none matches.
 
     Null and blank values have no row. Ties go to the cheaper head, then to the entry used by more values, then to the
-    smaller id. The reference list is collected to the driver, which its size allows by nature: entries, not data.
+    smaller id. ``further`` (``title, name``) has further names of entries. ``n_rows`` is how often a value occurs. Only sums
+    come to the driver: of the names' bytes, and their greatest lengths.
     """
     spark = values.sparkSession
-    listed = [(r[0], r[1]) for r in entries.select("title_id", "title").where("title is not null").distinct().collect()]
-    names = _names(spark, listed)
+    names = cut_lineage(dictionary_names(entries, further))
+    n_words = F.size(F.split("name", " ")) + F.when(F.col("name").rlike(r"[\x{3040}-\x{9fff}\x{ac00}-\x{d7a3}]"), F.length("name")).otherwise(0)
+    most_words, most_letters, name_bytes = names.agg(F.max(n_words), F.max(F.length("name")), F.sum(F.octet_length("name") + 24)).first()
+    small = lambda size, df: F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df.hint("merge")
     distinct = values.select(F.col(value_col).alias("value")).where(F.col("value").rlike(r"(?U)\S")).groupBy("value").agg(F.count("*").alias("n_rows"))
     # Few bytes but much work a row: an explicit number of parts, which small sizes don't merge again. The hash as the key
     # keeps the shuffle, which would be dropped as a repetition of the one for the distinct values.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cut_lineage(distinct.repartition(parts, F.xxhash64("value")).withColumn("_hs", _heads("value")))
+    distinct = cut_lineage(distinct.repartition(parts, F.xxhash64("value")).withColumn("_hs", _heads(F.col("value"), (most_words or 0) + 2)))
     headed = distinct.select("value", F.explode_outer("_hs").alias("_h")).select("value", "_h.p", "_h.h")
-    exact = headed.join(F.broadcast(names), F.col("h") == F.col("name")).groupBy("value").agg(F.min(F.struct("p", "title_id")).alias("_e")).select("value", "_e.title_id", F.lit(0.0).alias("cost"))
-    used = F.broadcast(exact.groupBy("title_id").agg(F.count("*").alias("_used")))
+    exact = headed.join(small(name_bytes, names), F.col("h") == F.col("name")).groupBy("value").agg(F.min(F.struct("p", "title_id")).alias("_e")).select("value", "_e.title_id", F.lit(0.0).alias("cost"))
+    used = small(name_bytes, exact.groupBy("title_id").agg(F.count("*").alias("_used")))
     # the others, within a bounded edit distance
-    missed = headed.join(exact.select("value"), "value", "left_anti").where(~F.col("h").rlike("^[~=]") & (F.length("h") >= 4))
-    near_names = [(d, n, i, allowed_distance(n)) for n, i in [tuple(r) for r in names.collect()] if allowed_distance(n) for d in deletes(n, allowed_distance(n))]
-    dictionary = spark.createDataFrame(near_names, "d string, name string, title_id bigint, most int") if near_names else spark.createDataFrame([], "d string, name string, title_id bigint, most int")
-    if len(near_names) <= BROADCAST_ROWS:
-        dictionary = F.broadcast(dictionary)
+    missed = headed.join(exact.select("value"), "value", "left_anti").where(~F.col("h").rlike("^[~=]") & (F.length("h") >= 4) & (F.length("h") <= (most_letters or 0) + 2))
+    dictionary = cut_lineage(names.select("name", "title_id", F.explode(_name_deletes("name")).alias("_x")).select("_x.d", "name", "title_id", "_x.most"))
+    dictionary = small(dictionary.agg(F.sum(F.octet_length("d") + F.octet_length("name") + 40)).first()[0], dictionary)
     heads_missed = missed.select("h").distinct().repartition(parts, F.xxhash64("h")).select("h", F.explode(_deletes("h")).alias("d"))
     pairs = heads_missed.join(dictionary, "d").select("h", "name", "title_id", "most").distinct().repartition(parts, F.xxhash64("h", "name"))
     pairs = pairs.withColumn("cost", _cost("h", "name")).where(F.col("cost") <= F.col("most") + 0.05)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.canonical_titles import entries_of_values
+from vellum.llm.canonical_titles import OTHER_NAMES, entries_of_values
 from vellum.llm.containers import CAPACITY, contained
 from vellum.llm.format_duplicates import format_duplicates
 from vellum.llm.leakage import leaked_items
@@ -44,17 +44,22 @@ def _typed_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _mapped_titles(spark: SparkSession, folder: str, typed: DataFrame) -> DataFrame:
+    further = spark.createDataFrame([(title, name) for title, names in OTHER_NAMES.items() for name in names.split("|")], "title string, name string")
+    return entries_of_values(typed, table(spark, folder, "canonical_titles"), further=further)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     typed = _typed_titles(spark, folder)
-    mapped = entries_of_values(typed, table(spark, folder, "canonical_titles"))
+    mapped = _mapped_titles(spark, folder, typed)
     return spread_join(typed, mapped.select("value", "title_id", "n_rows"), ["value"], "row_id", count="n_rows").select("src", "row_id", "title_id").distinct()
 
 
 def p2_misses(spark: SparkSession, folder: str) -> DataFrame:
     """The values that match no entry, with how many rows have them."""
     typed = _typed_titles(spark, folder)
-    mapped = entries_of_values(typed, table(spark, folder, "canonical_titles")).where("title_id = 0")
-    return typed.groupBy("value").agg(F.count("*").alias("n_rows")).join(mapped.select("value"), "value")
+    mapped = _mapped_titles(spark, folder, typed).where("title_id = 0")
+    return mapped.select("value", "n_rows")
 
 
 def _named_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Template residue, filler, error messages and notices that stand where a page's content should be.
 
 All patterns run as JVM regular expressions over title and text; no row leaves the JVM and nothing is shuffled. Slots are
-recognised by a grammar per delimiter; sentences that talk about templates, scripts or errors are discounted by what
-surrounds them, so are slots in runs of code lines, and messages only count as whole lines.
+recognised by a grammar per delimiter. What surrounds them discounts them: fenced, quoted and listed code, requests and routes,
+sentences that talk about templates or say how to write a slot. Messages only count as whole lines, and by density: on a page
+with much prose, a line that reads like one is part of what the page says.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ SLOT_GRAMMAR = {
     "exclamation marks": rf"!!{_NAME}!!",
     "double parentheses": rf"\(\((?:{_KNOWN_NAME}|{_PARTED})\)\)",
     "dollars": rf"(?<![\w$])\$(?:{_KNOWN_NAME}|{_PARTED})\$(?![\w$])",
-    "colon": rf"(?<![\w:]):{_WORD}_{_WORD}\b",
+    "colon": rf"(?<![\w:/]):{_WORD}_{_WORD}\b",
     "object": r"\[object \w+\]",
     "failed value": r"\bNaN [\p{L}]+|\bnull null\b|\bundefined undefined\b|(?m:^(?:null|undefined|NaN|None)$)",
 }
@@ -71,6 +72,13 @@ LISTING = (
     rf"|(?:^{_SLOT_LINE}\n)*+(?:^{_CODE_LINE}(?:\n|\z)){{3,}}+{_LISTED}*+"
 )
 
+# Code within a line: fenced blocks, back quotes, string literals after an f, a bracket, a comma or an equals sign, requests; and slots that a
+# sentence says how to write.
+CODE_SPANS = (
+    r"(?s:```.*?(?:```|\z))|`[^`\n]+`|(?:\b[fFrRbB]{1,2}|[(=,\[]\s*)(?:\"[^\"\n]*\"|'[^'\n]*')|\b(?:GET|POST|PUT|PATCH|DELETE|HEAD)\s+/\S*"
+    rf"|(?i:\b(?:use|uses|using|write|writes|writing|type|typing|such as|e\.g\.|called|prints?|renders?|yields?|means|expressions?|tags?|tokens?|markers?|slots?|routes?|endpoints?|parameters?)\s+)(?:{SLOT})(?=[\s,;.]+\p{{Ll}}|[.,;])[^.!?。！？\n]*"
+)
+
 #: The words of the standard copies that hardly occur elsewhere, and those that are also ordinary words of some language.
 FILLER_ONLY = (
     "lorem", "ipsum", "amet", "consectetur", "consectetuer", "consetetur", "adipiscing", "adipisicing", "sadipscing", "elitr", "eiusmod", "eirmod", "tempor", "incididunt", "invidunt", "labore", "aliqua", "aliquyam",
@@ -150,7 +158,7 @@ REFERENCE = _whole_line((_CODE,))
 
 def slots_left(text: Column) -> Column:
     """True where a slot is left unfilled, outside code listings and sentences that talk about templates or code."""
-    prose = F.regexp_replace(text, LISTING, "$1$2\n")
+    prose = F.regexp_replace(F.regexp_replace(text, CODE_SPANS, " "), LISTING, "$1$2\n")
     return text.rlike(SLOT) & F.regexp_replace(prose, TALK, " ").rlike(SLOT)
 
 
@@ -163,6 +171,15 @@ def has_filler(text: Column) -> Column:
     return text.rlike(FILLER) | (text.rlike(f"(?i){FILLER_ONLY_WORD}") & F.exists(parts, dense))
 
 
+#: A message counts on a page with at most so many characters in lines of prose, which are lines of at least so many characters.
+PROSE_MOST, PROSE_LINE = 1_500, 80
+
+
+def prose_length(text: Column) -> Column:
+    """Characters in lines of prose."""
+    return F.aggregate(F.split(text, r"\n"), F.lit(0), lambda n, line: n + F.when(F.length(line) >= PROSE_LINE, F.length(line)).otherwise(0))
+
+
 def title_head(title: Column) -> Column:
     """The page's part of a title, before the site's name."""
     return F.regexp_replace(title, r"\s+(?:[|–—:-]|::|·|»)\s+[^|–—]*$", "")
@@ -181,8 +198,8 @@ def residue_kinds(rows: DataFrame, text_col: str = "text", title_col: str = "tit
             F.when(slots_left(text) | slots_left(title), "slot"),
             F.when(head.rlike(_whole_line(_DEFAULT_TITLES)), "default_title"),
             F.when(has_filler(text) | has_filler(head), "filler"),
-            F.when(text.rlike(ERRORS) | head.rlike(ERRORS) | head.rlike(REFERENCE) | text.rlike(REFERENCE), "error"),
-            F.when(text.rlike(NOTICES) | head.rlike(NOTICES), "notice"),
+            F.when(((text.rlike(ERRORS) | text.rlike(REFERENCE)) & (prose_length(text) <= PROSE_MOST)) | head.rlike(ERRORS) | head.rlike(REFERENCE), "error"),
+            F.when((text.rlike(NOTICES) & (prose_length(text) <= PROSE_MOST)) | head.rlike(NOTICES), "notice"),
         )
     )
     return rows.withColumn("residue", F.when(F.trim(text) != "", found).otherwise(F.array().cast("array<string>")))
