@@ -21,3 +21,16 @@ def message(text: Column, most: int = 500) -> Column:
     """The first line that isn't blank, without markup, cut at a length, redacted."""
     line = F.regexp_extract(text, r"^\s*([^\r\n]+)", 1)
     return F.substring(F.trim(redacted_text(F.regexp_replace(line, "<[^>]*>.*$", ""))), 1, most)
+
+
+# Parts of names of fields that hold secrets.
+SENSITIVE_SEGMENTS = (
+    "auth", "authentication", "authorization", "bearer", "cookie", "credential", "credentials", "csrf", "password", "passwd", "secret", "session", "sessionid", "sig", "signature", "ticket", "token",
+)
+
+
+def is_sensitive_key(key: Column) -> Column:
+    """A part of the name, parted by signs or by capitals, names a secret, or it ends as a key's name does."""
+    parted = F.regexp_replace(F.lower(F.regexp_replace(key, "(?<=[a-z0-9])(?=[A-Z])", "_")), "[^a-z0-9]+", "_")
+    plain = F.regexp_replace(parted, "^_+|_+$", "")
+    return F.arrays_overlap(F.split(plain, "_"), F.array(*map(F.lit, SENSITIVE_SEGMENTS))) | plain.rlike("(?:api|private)_?key$")

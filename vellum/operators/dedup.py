@@ -31,6 +31,34 @@ def most_complete_per_key(rows: DataFrame, key: Column, order: Column, filled: l
     return best.select("_r.*", "first_at", "n_rows")
 
 
+def coalesced_per_key(rows: DataFrame, key: Column, order: str, fields: list[str], mail: str) -> DataFrame:
+    """One row per key, as a scan in order would leave it: a later row takes the place of the row kept so far if it has more
+    of ``fields`` and ``mail`` filled, and whichever is kept takes over a mail address that it lacks.
+
+    Adds ``first_at``, the place of the key's first row. Only the first row of each of the (fields filled, mail filled)
+    classes can ever change anything, so a key is reduced to at most twice as many rows as there are counts before it is
+    scanned, and no group has to stand in one task. Rows with a null key are dropped.
+    """
+    filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    n_filled = sum((F.when(filled(c), 1).otherwise(0) for c in fields), F.lit(0))
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    classes = rows.select(key.alias("_k"), F.col(order).alias("_o"), n_filled.alias("_n"), F.when(filled(mail), F.col(mail)).alias("_m"), whole.alias("_r")).where("_k is not null")
+    firsts = classes.groupBy("_k", "_n", F.col("_m").isNotNull().alias("_has")).agg(F.min_by(F.struct("_o", "_n", "_m", "_r"), "_o").alias("_x"))
+    held = firsts.groupBy("_k").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    score = lambda n, m: n + F.when(m.isNotNull(), 1).otherwise(0)
+    first = F.get("_xs", F.lit(0))
+    start = F.struct(first["_n"].alias("n"), first["_m"].alias("m"), first["_r"].alias("r"))
+
+    def step(kept: Column, x: Column) -> Column:
+        better = score(x["_n"], x["_m"]) > score(kept["n"], kept["m"])
+        own, other = F.when(better, x["_m"]).otherwise(kept["m"]), F.when(better, kept["m"]).otherwise(x["_m"])
+        return F.struct(F.when(better, x["_n"]).otherwise(kept["n"]).alias("n"), F.coalesce(own, other).alias("m"), F.when(better, x["_r"]).otherwise(kept["r"]).alias("r"))
+
+    kept = held.select("_k", first["_o"].alias("first_at"), F.aggregate(F.slice("_xs", 2, F.size("_xs")), start, step).alias("_b"))
+    columns = [F.col(f"_b.r.{c}").alias(c) if c != mail else F.coalesce(F.col("_b.m"), F.lit("")).alias(c) for c in rows.columns]
+    return kept.select(*columns, "first_at")
+
+
 def greedy_first(rows: DataFrame, id_col: str, keys: list[str], order_col: str) -> DataFrame:
     """``id, kept``: rows in order, each kept unless a kept row before it shares one of its non-empty keys.
 

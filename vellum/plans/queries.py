@@ -24,7 +24,7 @@ def q_page_inventory(spark: SparkSession, folder: str) -> DataFrame:
 _PAGE_KEY = """CASE WHEN regexp_extract({0}, '^\\s*((?i)https?://[^/?#\\s]+)', 1) = '' THEN '' ELSE lower(regexp_extract({0}, '^\\s*((?i)https?://[^/?#\\s]+)', 1)) || regexp_replace(regexp_replace(regexp_replace(trim({0}), '^\\s*(?i)https?://[^/?#\\s]+', ''), '#.*$', ''), '/+$', '') END"""
 _HOST = """regexp_extract(lower(regexp_extract({0}, '^\\s*((?i)https?://[^/?#\\s]+)', 1)), '^https?://(?:[^@/]*@)?([^:/]+)', 1)"""
 SQL["q_page_inventory"] = f"""
-WITH p AS (SELECT page_id, final_url, regexp_extract(substr(html, 1, 2000), '<html[^>]*\\slang=["'']?([A-Za-z]+)', 1) AS lang, {_PAGE_KEY.format('final_url')} AS k FROM fetched_pages),
+WITH p AS (SELECT page_id, final_url, regexp_extract(html, '<html[^>]*\\slang=["'']?([A-Za-z]+)', 1) AS lang, {_PAGE_KEY.format('final_url')} AS k FROM fetched_pages),
 f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS rn FROM p WHERE k <> '')
 SELECT {_HOST.format('final_url')} AS host, lang, count(*) AS n_pages FROM f WHERE rn = 1 GROUP BY ALL"""
 
@@ -65,15 +65,15 @@ FROM fetched_pages GROUP BY ALL"""
 
 def q_headings_in_effect(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines of page text stand under each second-level heading, the heading carried down to the next one."""
-    pages = table(spark, folder, "fetched_pages").where("html like '%<h2>%'")
-    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<(h2|li|p)[^>]*>([^<]+)"), 0)).alias("pos", "part"))
+    pages = table(spark, folder, "fetched_pages").where(F.col("html").rlike(r"<h2[\s>]"))
+    parts = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<(h2|li|p)\b[^>]*>([^<]+)"), 0)).alias("pos", "part"))
     parts = parts.withColumn("heading", F.when(F.col("part").startswith("<h2"), F.regexp_extract("part", ">([^<]+)$", 1)))
     under = reports.carried(parts, "page_id", "pos", F.col("heading"), "in_effect").where("heading is null and in_effect is not null")
     return under.groupBy(F.col("in_effect").alias("heading")).agg(F.count("*").alias("n_blocks"))
 
 
 SQL["q_headings_in_effect"] = """
-WITH a AS (SELECT page_id, regexp_extract_all(html, '<(?:h2|li|p)[^>]*>[^<]+', 0) AS xs FROM fetched_pages WHERE html LIKE '%<h2>%'),
+WITH a AS (SELECT page_id, regexp_extract_all(html, '<(?:h2|li|p)\\b[^>]*>[^<]+', 0) AS xs FROM fetched_pages WHERE regexp_matches(html, '<h2[\\s>]')),
 p AS (SELECT page_id, generate_subscripts(xs, 1) AS pos, unnest(xs) AS part FROM a),
 h AS (SELECT *, CASE WHEN starts_with(part, '<h2') THEN regexp_extract(part, '>([^<]+)$', 1) END AS heading FROM p),
 c AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS in_effect FROM h)
@@ -82,11 +82,11 @@ SELECT in_effect AS heading, count(*) AS n_blocks FROM c WHERE heading IS NULL A
 
 def q_table_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of tables per page that has any."""
-    pages = table(spark, folder, "fetched_pages").where("html like '%<td>%'")
-    return pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"<td>([^<]*)"), 1)).alias("n_cells"))
+    pages = table(spark, folder, "fetched_pages").where(F.col("html").rlike(r"<td[\s>]"))
+    return pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"<td\b[^>]*>([^<]*)"), 1)).alias("n_cells"))
 
 
-SQL["q_table_cells"] = "SELECT page_id, len(regexp_extract_all(html, '<td>([^<]*)', 1)) AS n_cells FROM fetched_pages WHERE html LIKE '%<td>%'"
+SQL["q_table_cells"] = "SELECT page_id, len(regexp_extract_all(html, '<td\\b[^>]*>([^<]*)', 1)) AS n_cells FROM fetched_pages WHERE regexp_matches(html, '<td[\\s>]')"
 
 
 def q_visible_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,13 +102,13 @@ def q_listed_people(spark: SparkSession, folder: str) -> DataFrame:
 def q_mail_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct mail addresses in document and page texts by domain."""
     docs = table(spark, folder, "documents").select("text").unionByName(table(spark, folder, "fetched_pages").select("text"))
-    found = docs.where("text like '%@%'").select(F.explode(emails.addresses(emails.spelled_out(F.col("text")))).alias("mail")).distinct()
+    found = docs.select(F.explode(emails.addresses(emails.spelled_out(F.col("text")))).alias("mail")).distinct()
     return found.groupBy(F.regexp_extract("mail", "@(.+)$", 1).alias("domain")).agg(F.count("*").alias("n_addresses"))
 
 
 SQL["q_mail_domains"] = """
 WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM fetched_pages),
-m AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '%40', '@', 'g')), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) AS mail FROM t WHERE text LIKE '%@%')
+m AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\\\u0040|\\\\x40|&#0*64;|&#x0*40;|&commat;|%40', '@', 'g'), '(?i)([\\w.-])\\s*[\\[({]\\s*(?:at|@|arroba)\\s*[\\])}]\\s*([\\w-])', '\\1@\\2', 'g'), '(?i)([\\w-])\\s*[\\[({]\\s*(?:dot|punkt|punto|point|\\.)\\s*[\\])}]\\s*([\\w-])', '\\1.\\2', 'g')), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) AS mail FROM t)
 SELECT regexp_extract(mail, '@(.+)$', 1) AS domain, count(*) AS n_addresses FROM m GROUP BY ALL"""
 
 
@@ -487,14 +487,14 @@ FROM q LEFT JOIN p ON p.url = q.url AND p.url <> '' GROUP BY ALL"""
 
 def q_longest_link_text(spark: SparkSession, folder: str) -> DataFrame:
     """For each link target the longest text it is linked with, the first by the alphabet among equal lengths."""
-    links = table(spark, folder, "fetched_pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 0)).alias("a"))
-    both = links.select(F.regexp_extract("a", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("label"))
+    links = table(spark, folder, "fetched_pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'<a\b[^>]*\shref="([^"]*)"[^>]*>([^<]*)</a>'), 0)).alias("a"))
+    both = links.select(F.regexp_extract("a", r'\shref="([^"]*)"', 1).alias("href"), F.regexp_extract("a", ">([^<]*)<", 1).alias("label"))
     return both.groupBy("href").agg(F.min(F.struct((-F.length("label")).alias("n"), "label")).alias("m"), F.count("*").alias("n_links")).select("href", "m.label", "n_links")
 
 
 SQL["q_longest_link_text"] = """
-WITH a AS (SELECT unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM fetched_pages),
-b AS (SELECT regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label FROM a)
+WITH a AS (SELECT unnest(regexp_extract_all(html, '<a\\b[^>]*\\shref="[^"]*"[^>]*>[^<]*</a>')) AS a FROM fetched_pages),
+b AS (SELECT regexp_extract(a, '\\shref="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label FROM a)
 SELECT href, arg_min(label, (-length(label), label)) AS label, count(*) AS n_links FROM b GROUP BY ALL"""
 
 
