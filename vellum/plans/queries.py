@@ -334,6 +334,13 @@ def q_greedy_records(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.greedy_first(rows, "record_id", ["mail", "page", "who"], "record_id").where("kept").select(F.col("id").alias("record_id"))
 
 
+SQL["q_greedy_records"] = f"""
+WITH r AS (SELECT record_id, list_filter(['m|' || nullif(lower(trim(email)), ''), 'p|' || nullif({_PAGE_KEY.format("profile_url")}, ''), CASE WHEN trim(name) <> '' THEN 'w|' || school_id || '|' || lower(name) END], lambda x: x IS NOT NULL) AS ks FROM faculty_records),
+l AS (SELECT list({{'kept': [record_id], 'taken': ks}} ORDER BY record_id) AS xs FROM r),
+z AS (SELECT list_reduce(xs, lambda a, x: CASE WHEN list_has_any(a.taken, x.taken) THEN a ELSE {{'kept': a.kept || x.kept, 'taken': a.taken || x.taken}} END) AS w FROM l)
+SELECT unnest(w.kept) AS record_id FROM z"""
+
+
 def q_reachable_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units and schools within two steps of school 17, over the links that shared records make."""
     rows = table(spark, folder, "faculty_records").where("school_id is not null and unit_id is not null").select("school_id", "unit_id").distinct()

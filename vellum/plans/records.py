@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import limits, names, privacy, text, urls
-from vellum.operators import dedup
+from vellum.operators import dedup, page_cards
 from vellum.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -391,5 +391,11 @@ SQL["q_host_digests"] = """
 SELECT sha256('host|' || h) AS digest, count(*) AS n_pages FROM (SELECT regexp_extract(lower(regexp_extract(final_url, '^\\s*((?i)https?://[^/?#\\s]+)', 1)), '^https?://(?:[^@/]*@)?([^:/]+)', 1) AS h FROM fetched_pages) WHERE h <> '' GROUP BY ALL"""
 
 
+def q_card_people(spark: SparkSession, folder: str) -> DataFrame:
+    """People on pages with cards, accordions, teasers, split names, data in scripts or links, by the most certain way of each page."""
+    pages = table(spark, folder, "fetched_pages").select("page_id", "final_url", "html").where("html != ''")
+    return page_cards.best_way(page_cards.card_people(pages)).groupBy("way").agg(F.countDistinct("page_id").alias("n_pages"), F.count("*").alias("n_people"))
+
+
 def all_queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("q_") and callable(f)}
