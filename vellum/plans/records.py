@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import limits, names, privacy, text, urls
-from vellum.operators import dedup, page_cards
+from vellum.operators import dedup, page_cards, page_people
 from vellum.sources.tables import table
 
 SQL: dict[str, str] = {}
@@ -392,9 +392,10 @@ SELECT sha256('host|' || h) AS digest, count(*) AS n_pages FROM (SELECT regexp_e
 
 
 def q_card_people(spark: SparkSession, folder: str) -> DataFrame:
-    """People on pages with cards, accordions, teasers, split names, data in scripts or links, by the most certain way of each page."""
+    """People on pages by the way they are found: the most certain of cards, accordions and the like, and each of the plain ones."""
     pages = table(spark, folder, "fetched_pages").select("page_id", "final_url", "html").where("html != ''")
-    return page_cards.best_way(page_cards.card_people(pages)).groupBy("way").agg(F.countDistinct("page_id").alias("n_pages"), F.count("*").alias("n_people"))
+    others = page_people.page_people(pages).select("page_id", F.concat(F.lit("plain "), "strategy").alias("way"), F.col("ordinal").alias("place"), "name", "title", "profile_url", "email", F.lit("").alias("section"))
+    return page_cards.best_way(page_cards.card_people(pages)).unionByName(others).groupBy("way").agg(F.countDistinct("page_id").alias("n_pages"), F.count("*").alias("n_people"))
 
 
 def all_queries() -> dict:
