@@ -83,3 +83,23 @@ def test_html(spark):
     assert facts[0]["visible"].split("\n")[:2] == ["A", "Ada Lovelace"] and facts[1]["visible"] == ""
     people = html.listed_people(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
     assert [(p["name"], p["title"]) for p in people] == [("Ada Lovelace", "Professor"), ("Søren van der Berg", "Reader")]
+
+
+def test_components_of_a_star_are_spread(spark):
+    from vellum.operators.components import connected_components
+
+    edges = spark.range(1, 400).selectExpr("'hub' as a", "concat('n', id) as b").unionByName(spark.createDataFrame([("x", "y"), ("y", "z"), ("n7", "m")], "a string, b string"))
+    for hot in (50, 10_000):
+        got = {r["node"]: r["component"] for r in connected_components(edges, hot_rows=hot).collect()}
+        assert len(got) == 404 and len(set(got.values())) == 2 and got["hub"] == got["m"] == got["n399"] and got["x"] == got["z"] == "x"
+
+
+def test_joins_spread_hot_keys_only(spark):
+    from vellum.operators.skew import spread_join
+
+    rows = spark.range(1000).selectExpr("id", "case when id < 900 then 'hot' when id < 990 then concat('k', id) end as k", "1 as _salts")
+    few = spark.createDataFrame([("hot", 1, 900), ("k950", 2, 1), ("none", 3, 0)], "k string, v int, n long")
+    for count in (None, "n"):
+        for how, n in (("inner", 901), ("left", 1000), ("left_semi", 901), ("left_anti", 99)):
+            got = spread_join(rows.drop("_salts"), few, ["k"], "id", how=how, count=count, hot_rows=100)
+            assert got.count() == n and got.select("id").distinct().count() == n

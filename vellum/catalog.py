@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.plans import exchange, records
 from vellum.plans import queries as plans
-from vellum.plans import records
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return plans.all_queries() | records.all_queries()
+    return plans.all_queries() | records.all_queries() | exchange.all_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return plans.SQL | records.SQL
+    return plans.SQL | records.SQL | exchange.SQL

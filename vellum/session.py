@@ -40,3 +40,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so later stages do not recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables that are written to be read again; every executor sees it."""
+    ensure_checkpoint_dir(spark)
+    return str(spark.sparkContext.getCheckpointDir()).rstrip("/")

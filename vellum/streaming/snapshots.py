@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 _OUT = "page string, round int, n_new int, stopped boolean"
-_STATE = "seen string, unchanged int"
+_STATE = "seen array<string>, unchanged int"
 
 
 def new_per_round(snapshots: DataFrame) -> DataFrame:
@@ -33,11 +33,12 @@ def quiet_after(rounds: DataFrame, patience: int) -> DataFrame:
 def watch(snapshots: DataFrame, patience: int = 2) -> DataFrame:
     """The same over a stream of ``page, round, keys``: one row per snapshot, with a state per page that holds the keys seen.
 
-    Rounds of a page that come in one batch are taken in order. A page that has stopped stays stopped.
+    Rounds of a page that come in one batch are taken in order. A page that has stopped stays stopped, and of it the state
+    keeps nothing but that.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, unchanged = (set(state.get[0].split("\x1f")) - {""}, state.get[1]) if state.exists else (set(), 0)
+        seen, unchanged = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
         rows = pd.concat(list(frames)).sort_values("round")
         out = []
         for number, keys in zip(rows["round"], rows["keys"], strict=True):
@@ -46,7 +47,7 @@ def watch(snapshots: DataFrame, patience: int = 2) -> DataFrame:
             seen |= new
             unchanged = unchanged if stopped else 0 if new else unchanged + 1
             out.append((key[0], int(number), len(new), unchanged >= patience))
-        state.update(("\x1f".join(sorted(seen)), unchanged))
+        state.update(([] if unchanged >= patience else sorted(seen), unchanged))
         yield pd.DataFrame(out, columns=["page", "round", "n_new", "stopped"])
 
     return snapshots.groupBy("page").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
