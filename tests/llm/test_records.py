@@ -126,6 +126,23 @@ def people_of_unit(spark, names):
     return sorted(map(sorted, groups.values()))
 
 
+def test_token_orders_and_short_surnames(spark):
+    # no token is a common given name: the permuted order is a reading, checked by both written-out names
+    assert people_of_unit(spark, ["Zorvath Quillume", "Quillume Zorvath", "Quillume Zorvat", "Quillume Brandis"]) == [["Quillume Brandis"], ["Quillume Zorvat", "Quillume Zorvath", "Zorvath Quillume"]]
+    assert people_of_unit(spark, ["Lin Wang", "Lin Wagn", "Lara Wong"]) == [["Lara Wong"], ["Lin Wagn", "Lin Wang"]]
+    # both ends of a long surname differ
+    assert people_of_unit(spark, ["A. Holvermand", "A. Bolvermann"]) == [["A. Bolvermann", "A. Holvermand"]]
+
+
+def test_large_shards_are_walked_in_blocks(monkeypatch):
+    from vellum.llm.name_variants import shard_links
+
+    names = ["".join(x) for x in __import__("itertools").product("ab", "cd", "ef", "gh", "ij")]
+    whole = {frozenset(x) for x in shard_links([(n, n, False, "", True) for n in names])}
+    parts = {frozenset(x) for k in range(3) for x in shard_links([(n, n, False, "", hash(n) % 3 == k) for n in names])}
+    assert whole == parts and len(whole) == 32 * 5 // 2
+
+
 def test_every_neighbour_is_linked(spark):
     # both typing errors are one edit from a reading that no row has, and two from each other
     assert people_of_unit(spark, ["A. Voskar-Branik", "A. Voskor", "A. Voksar"]) == [["A. Voksar", "A. Voskar-Branik", "A. Voskor"]]

@@ -119,13 +119,13 @@ class GivenNames:
         return token in self.names
 
     def near(self, token: str) -> str:
-        """The first given name within one edit or swap of a token of four letters or more; '' if there is none."""
+        """The first given name within one edit or swap of a token of four letters or more, one of the same initial before others; '' if there is none."""
         if len(token) < 4:
             return ""
         found = self.seen.get(token)
         if found is None:
             cuts = {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
-            found = self.seen[token] = min((g for d in cuts for g in self.by_delete.get(d, ()) if one_edit(token, g)), default="")
+            found = self.seen[token] = min((g for d in cuts for g in self.by_delete.get(d, ()) if one_edit(token, g)), key=lambda g: (g[0] != token[0], g), default="")
         return found
 
 
