@@ -290,8 +290,9 @@ def q_known_candidates(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "candidates").select("candidate_id", "school_id", F.lower(F.trim("email")).alias("m"), urls.page_key(F.col("homepage")).alias("u"), F.lower("name").alias("nm")).dropDuplicates(["candidate_id"])
     known = table(spark, folder, "faculty_records").select("school_id", F.lower(F.trim("email")).alias("m"), urls.page_key(F.col("profile_url")).alias("u"), F.lower("name").alias("nm"))
     flag = lambda keys, name: known.select(*keys).where(" and ".join(f"{k} != ''" if k != "school_id" else "school_id is not null" for k in keys)).distinct().withColumn(name, F.lit(True))
+    base = rows
     for keys, name in ((["m"], "by_mail"), (["u"], "by_page"), (["school_id", "nm"], "by_name")):
-        rows = spread_join(rows, flag(keys, name), keys, "candidate_id", how="left")
+        rows = spread_join(rows, flag(keys, name), keys, "candidate_id", how="left", base=base)
     return rows.select("candidate_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("by_mail", "by_page", "by_name")))
 
 
