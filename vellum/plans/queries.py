@@ -292,7 +292,7 @@ def q_known_candidates(spark: SparkSession, folder: str) -> DataFrame:
     flag = lambda keys, name: known.select(*keys).where(" and ".join(f"{k} != ''" if k != "school_id" else "school_id is not null" for k in keys)).distinct().withColumn(name, F.lit(True))
     base = rows
     for keys, name in ((["m"], "by_mail"), (["u"], "by_page"), (["school_id", "nm"], "by_name")):
-        rows = spread_join(rows, flag(keys, name), keys, "candidate_id", how="left", base=base)
+        rows = spread_join(rows, flag(keys, name), keys, "candidate_id", how="left", base=base, shuffled=False)
     return rows.select("candidate_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("by_mail", "by_page", "by_name")))
 
 
